@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors through Spark, once per application; they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plinth_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = os.path.join(tempfile.mkdtemp(prefix="plinth-package-"), "plinth.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(to)
+    sc._plinth_shipped = True
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there.
 

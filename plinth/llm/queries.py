@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import importlib.util
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm.common import table
+from pyspark.sql import functions as F
+
+from plinth.llm import quality as good, toxicity as tox
+from plinth.llm.common import ship, table
 from plinth.llm.mixing import mix
 from plinth.llm.tokencount import token_counts
 
@@ -16,6 +19,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def held_out(of: int, rest: int):
+    """Whether crc32 of a doc_id as text leaves this remainder."""
+    return F.crc32(F.col("doc_id").cast("string")) % of == rest
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(3, 1)).select("doc_id", "toxic")
+    out = tox.toxicity(docs, tox.learn(docs, labels), threshold=0.7)
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", "quality")
+    out = good.quality(docs, good.learn(docs, labels), threshold=0.3)
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -55,8 +77,15 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
 FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
-QUERIES = {
-    "op4_mixing": op4_mixing,
-    "op9_token_counts": op9_token_counts,
-}
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op4_mixing, op5_toxicity, op8_quality, op9_token_counts)}
 ORACLES = {"op4_mixing": OP4_SQL}
