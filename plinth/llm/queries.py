@@ -8,12 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plinth.llm import quality as good, toxicity as tox
+from plinth.llm import chatformat, pii, quality as good, topk, toxicity as tox, urlfilter
 from plinth.llm.common import ship, table
 from plinth.llm.mixing import mix
 from plinth.llm.tokencount import token_counts
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are the chosen and the rejected one of pair n; the table names no pairs."""
+    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    side = F.when(F.col("conv_id") % 2 == 0, "chosen").when(F.col("conv_id").isNotNull(), "rejected")
+    return chatformat.preference(table(spark, sf_dir, "conversations"), pair, side)
+
+
+#: The base rules of the URL filter.
+BASE_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), BASE_RULES)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(docs, pii.bootstrap(docs))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, max_epochs=2)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +51,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", "quality")
@@ -78,6 +102,34 @@ FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role,
+         '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS text
+  FROM conversations
+), places AS (
+  SELECT pair_id, turn, count(DISTINCT side) = 2 AND count(DISTINCT (role, text)) = 1 AS same FROM t GROUP BY pair_id, turn
+), parts AS (SELECT pair_id, min(turn) AS parts_at FROM places WHERE NOT same GROUP BY pair_id)
+SELECT DISTINCT t.pair_id, CASE WHEN p.parts_at IS NULL OR t.turn < p.parts_at THEN 'prompt' ELSE t.side END AS part, t.turn, t.text,
+       t.role = 'assistant' AND p.parts_at IS NOT NULL AND t.turn >= p.parts_at AS trained
+FROM t LEFT JOIN parts p ON t.pair_id = p.pair_id
+"""
+
+OP6_SQL = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +139,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op4_mixing, op5_toxicity, op8_quality, op9_token_counts)}
-ORACLES = {"op4_mixing": OP4_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_preference_format, op2_url_filter, op3_pii, op4_mixing, op5_toxicity, op6_topk, op8_quality, op9_token_counts)}
+ORACLES = {"op1_preference_format": OP1_SQL, "op4_mixing": OP4_SQL, "op6_topk": OP6_SQL}
