@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plinth.llm import chatformat, pii, quality as good, topk, toxicity as tox, urlfilter
+from plinth.llm import chatformat, decontam, neardup, pii, quality as good, topk, toxicity as tox, urlfilter
 from plinth.llm.common import ship, table
 from plinth.llm.mixing import mix
 from plinth.llm.tokencount import token_counts
@@ -55,6 +55,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", "quality")
@@ -70,6 +75,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
     return token_counts(table(spark, sf_dir, "documents"), model, limit=4096)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, threshold=0.8)
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
@@ -139,5 +148,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_preference_format, op2_url_filter, op3_pii, op4_mixing, op5_toxicity, op6_topk, op8_quality, op9_token_counts)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_preference_format, op2_url_filter, op3_pii, op4_mixing, op5_toxicity, op6_topk, op7_decontamination, op8_quality, op9_token_counts, op10_near_dedup)}
 ORACLES = {"op1_preference_format": OP1_SQL, "op4_mixing": OP4_SQL, "op6_topk": OP6_SQL}
