@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.common import WORD
+from plinth.llm.common import WORD, settle
 
-#: Salts of the join that returns a source's target to its documents; a hot source spreads over so many tasks.
-SALTS = 64
+#: Sources whose targets are sent to every task, so that documents stay where they are. With more sources the join deals
+#: documents by source and salt; a hot source then spreads over so many tasks.
+SENT, SALTS = 50_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -46,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_epo
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Returns doc_id, source, size, source_size, target, whole, taken for every document.
+def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", keep: list[str] = ("doc_id", "source")) -> DataFrame:
+    """Returns the columns keep of every document, then size, source_size, target, whole, taken; those names of docs give way.
 
     whole is the number of whole repetitions, taken the words with the fractional repetition: epochs * size rounded up or
     down at a seeded point, so a source's words meet its target to a few parts in ten thousand however skewed its document
@@ -55,13 +56,18 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, m
     lost executors and other partitionings agree. Null or empty texts have size 0 and take 0; a null source is a source; a
     null doc_id draws as the empty text; repeated rows count each; an empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized.select("source", "size"), list(weights), share, max_epochs)
-    salted = targets.select(F.col("source").alias("its"), "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("slot"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    joined = sized.withColumn("salt", salt).join(salted, F.col("source").eqNullSafe(F.col("its")) & (F.col("salt") == F.col("slot")), "left")
+    made = ("size", "source_size", "target", "whole", "taken")
+    keep = [c for c in keep if c not in made]
+    sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), word_count(F.col("text")).alias("size"))
+    targets = settle(source_targets(sized.select("source", "size"), list(weights), share, max_epochs)).select(F.col("source").alias("_of"), "source_size", "target")
+    here = F.col("source").eqNullSafe(F.col("_of"))
+    if targets.count() <= SENT:
+        joined = sized.join(F.broadcast(targets), here, "left")
+    else:
+        salted = targets.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, here & (F.col("_salt") == F.col("_slot")), "left")
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(2**32)
     taken = F.least(F.floor(F.col("size") * epochs + draw).cast("long"), F.floor(max_epochs * F.col("size")).cast("long"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.floor(epochs).cast("long").alias("whole"), taken.alias("taken"))
+    return joined.select(*keep, "size", "source_size", "target", F.floor(epochs).cast("long").alias("whole"), taken.alias("taken"))
