@@ -1,0 +1,28 @@
+"""Hand-made records whose answers are known: seven valid ones and every kind of reject."""
+
+HEADER = "month,town,flat_type,block,street_name,storey_range,floor_area_sqm,flat_model,lease_commence_date,resale_price"
+LINES = [
+    "2021-07,TAMPINES,4 ROOM,101,ST 11,04 TO 06,80,Model A,1990,400000",
+    "2021-08,TAMPINES,5 ROOM,102,ST 11,07 TO 09,100,Improved,1995,450000",
+    "2021-08,TAMPINES,EXECUTIVE,103,ST 11,01 TO 03,125,Maisonette,1992,650000",
+    "2021-09,TAMPINES,5 ROOM,104,ST 11,01 TO 03,120,Improved,1995,300000",
+    "2021-06,TAMPINES,5 ROOM,105,ST 11,01 TO 03,120,Improved,1995,300000",
+    "2021-07,BEDOK,5 ROOM,106,ST 11,01 TO 03,120,Improved,1995,300000",
+    "2021-08,TAMPINES,3 ROOM,107,ST 11,01 TO 03,79.9,Model A,1985,200000",
+    "2021-08,TAMPINES,3 ROOM,108,ST 11,01 TO 03,90,Model A,1985,-1",
+    "2021-08,TAMPINES,3 ROOM,109,ST 11,01 TO 03,abc,Model A,1985,1",
+    "2021-08,TAMPINES,3 ROOM,110,ST 11,01 TO 03,90,Model A,1985",
+    "2021-08,TAMPINES,3 ROOM,111,ST 11,01 TO 03,90,Model A,1985,1,more",
+    "2021-08,TAMPINES,3 ROOM,112,ST 11,01 TO 03, 90,Model A,1985,1",
+    "2021-08,TAMPINES,3 ROOM,113,ST 11,01 TO 03,90d,Model A,1985,1",
+    "2021-08,TAMPINES,3 ROOM,114,ST 11,01 TO 03,1e400,Model A,1985,1",
+]
+#: Minimum, average and population standard deviation of price, minimum price per area: TAMPINES, 2021-07 and 08, from 80.
+ANSWER = {"min_price": 400000.0, "avg_price": 500000.0, "stddev_price": 108012.34497, "min_price_per_area": 4500.0}
+FILE = "Year,Month,Town,Category,Value\n2021,07,TAMPINES,Minimum Price,400000.00\n2021,07,TAMPINES,Average Price,500000.00\n2021,07,TAMPINES,Standard Deviation of Price,108012.34\n2021,07,TAMPINES,Minimum Price per Square Meter,4500.00\n"
+
+
+def write_csv(folder, lines=LINES, name="records.csv"):
+    path = folder / name
+    path.write_text("\n".join([HEADER, *lines]) + "\n")
+    return str(path)

@@ -1,0 +1,115 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from plinth.functions.aggregates import Metric
+from plinth.functions.arithmetic import compute
+from plinth.functions.predicates import Exact, Range, conjunction
+from plinth.operators import blocks, rle
+from plinth.operators.positions import running_sum, with_positions
+from plinth.plans.query import Query
+
+
+def make(spark, codes):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "position long, code int")
+    return blocks.with_blocks(df)
+
+
+@pytest.mark.parametrize("codes", [[1] * 250, [1] * 251, [0] * 249 + [5, 5], [1, 2, 2, 3] * 200, [None, None, 1], []], ids=["block", "over", "border", "mixed", "nulls", "none"])
+def test_runs_decode_by_block(spark, codes):
+    df = make(spark, codes)
+    runs = rle.encode(df, "code", cap=rle.CAP)
+    back = sorted((r.position, r.value) for r in rle.decode(runs).collect())
+    assert back == list(enumerate(codes))
+    for r in runs.collect():
+        assert r.run_length <= rle.CAP and r.start // 250 == r.block_id == (r.start + r.run_length - 1) // 250
+
+
+def test_run_lengths_of_a_constant_block(spark):
+    runs = rle.encode(make(spark, [4] * 250), "code", cap=rle.CAP)
+    assert sorted(r.run_length for r in runs.collect()) == [122, 128]
+    assert rle.entries(runs).first().entries == 4
+
+
+def test_offsets_are_sums_of_entries(spark):
+    codes = [i // 3 for i in range(1000)]
+    off = blocks.offsets(rle.entries(rle.encode(make(spark, codes), "code")), 8).orderBy("block_id").collect()
+    at = 0
+    for r in off:
+        assert r.byte_offset == at
+        at += 8 * r.entries
+
+
+def test_running_sum_crosses_groups(spark):
+    df = spark.range(10_000).withColumnRenamed("id", "k")
+    out = running_sum(df, "k", F.lit(2), "s").collect()
+    assert len(out) == 10_000 and all(r.s == 2 * r.k for r in out)
+
+
+def test_index_never_loses_a_row(spark):
+    rng = random.Random(3)
+    values = [rng.randrange(40) // (1 + i // 500) for i in range(2000)]
+    df = make(spark, values).cache()
+    zones, bits = blocks.zone_map(df, "code").cache(), blocks.bitmap(df, "code").cache()
+    rows = {}
+    for i, v in enumerate(values):
+        rows.setdefault(i // 250, []).append(v)
+    for _ in range(6):
+        low = rng.randrange(40)
+        r = Range("code", low, low + rng.randrange(6))
+        skip, ok = blocks.check_zone(F.col("min_code"), F.col("max_code"), r)
+        for x in zones.select("block_id", skip.alias("skip"), ok.alias("ok")).collect():
+            inside = [r.low <= v <= r.high for v in rows[x.block_id]]
+            assert x.ok or not any(inside)
+            assert not (x.skip and x.ok) or all(inside)
+        e = Exact("code", low)
+        skip, ok = blocks.check_bits(F.col("bits"), e)
+        for x in bits.select("block_id", skip.alias("skip"), ok.alias("ok")).collect():
+            inside = [v == e.value for v in rows[x.block_id]]
+            assert x.ok == any(inside) and (not (x.skip and x.ok) or all(inside))
+
+
+def test_no_block_qualifies(spark):
+    zones = blocks.zone_map(make(spark, [1, 2, 3]), "code")
+    assert tuple(blocks.block_range(zones, Range("code", 8, 9)).first()) == (-1, -1)
+    assert blocks.qualified(zones, Range("code", 8, 9)).isEmpty()
+
+
+def test_positions_keep_all_rows(spark):
+    rng = random.Random(5)
+    data = [(rng.randrange(9) if i % 7 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "day int, k int")
+    out = with_positions(df, "day", ["k"]).orderBy("position").collect()
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.day, r.k) for r in out] == want and [r.position for r in out] == list(range(3000))
+    plan = with_positions(df, "day", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan
+
+
+def test_nan_null_and_infinity_fail_ranges(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),), (80.0,), (79.9,)], "x double")
+    assert [r.x for r in df.where(Range("x", 80.0).condition()).collect()] == [80.0]
+    assert df.where(conjunction([])).count() == 5
+
+
+def test_arithmetic(spark):
+    row = spark.createDataFrame([(6.0, 3.0, 0.0)], "x double, y double, z double").select(
+        *[compute(o, F.col("x"), F.col("y")).alias(o) for o in ("add", "subtract", "multiply", "divide")], compute("divide", F.col("x"), F.col("z")).alias("none")
+    )
+    assert tuple(row.first()) == (9.0, 3.0, 18.0, 2.0, None)
+    with pytest.raises(ValueError):
+        compute("modulo", F.lit(1), F.lit(1))
+
+
+def test_deviation_of_large_numbers(spark):
+    df = spark.createDataFrame([(1e9,), (1e9 + 1,), (1e9 + 2,)], "x double")
+    assert abs(Query([], [Metric("s", "stddev_pop", "x")]).run(df).first().s - 0.816496580927726) < 1e-9
+    with pytest.raises(ValueError):
+        Metric("s", "median", "x").column()
+
+
+def test_one_aggregate_for_all_metrics(spark):
+    q = Query([Range("x", 0.0)], [Metric(f, f, "x") for f in ("min", "avg", "stddev_pop")])
+    plan = q.run(spark.createDataFrame([(1.0,)], "x double"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
