@@ -43,6 +43,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(texts: list[str | None], limit: int):
     """(first, last) index ranges of texts whose characters sum to at most limit, one text at least."""
     first, total = 0, 0

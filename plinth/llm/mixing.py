@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.common import WORD, settle
+from plinth.llm.common import WORD, fresh, settle
 
 #: Sources whose targets are sent to every task, so that documents stay where they are. With more sources the join deals
 #: documents by source and salt; a hot source then spreads over so many tasks.
@@ -59,13 +59,15 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, m
     made = ("size", "source_size", "target", "whole", "taken")
     keep = [c for c in keep if c not in made]
     sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), word_count(F.col("text")).alias("size"))
-    targets = settle(source_targets(sized.select("source", "size"), list(weights), share, max_epochs)).select(F.col("source").alias("_of"), "source_size", "target")
-    here = F.col("source").eqNullSafe(F.col("_of"))
+    targets = settle(source_targets(sized.select("source", "size"), list(weights), share, max_epochs))
+    of, slot, salt = (fresh(name, docs) for name in ("_of", "_slot", "_salt"))
+    targets = targets.select(F.col("source").alias(of), "source_size", "target")
+    here = F.col("source").eqNullSafe(F.col(of))
     if targets.count() <= SENT:
         joined = sized.join(F.broadcast(targets), here, "left")
     else:
-        salted = targets.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, here & (F.col("_salt") == F.col("_slot")), "left")
+        salted = targets.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = sized.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, here & (F.col(salt) == F.col(slot)), "left")
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(2**32)

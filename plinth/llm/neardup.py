@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.llm import shingles
-from plinth.llm.common import settle
+from plinth.llm.common import fresh, settle
 
 #: Retained values, and the chance that a pair at the threshold is missed by what its sketches have to share.
 K, MISSED = 48, 1e-9
@@ -197,5 +197,6 @@ def _answer(rows: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """docs without the documents that are not kept; one document of each component stays."""
-    gone = near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh("_gone", docs)
+    gone = near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

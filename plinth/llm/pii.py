@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import settle
+from plinth.llm.common import fresh, settle
 
 #: Kinds in their order, and their patterns. Possessive forms of the same languages, so that no text is scanned twice.
 KINDS = ("email", "ip", "card", "phone")
@@ -160,11 +160,11 @@ def _sent(patterns: DataFrame):
 
 
 def by_partition(docs: DataFrame, patterns: DataFrame):
-    """A function from a batch's texts to their spans, and docs as it has to be read: too many patterns for a broadcast are
-    joined to each document's own contexts first, as a column of those that it needs."""
-    sent = _sent(patterns)
+    """docs with a column of the patterns that each document needs, that column's name, and a function from a batch's texts and
+    needs to their spans. Few patterns are broadcast and the column is null; many are joined to the documents' own contexts."""
+    sent, name = _sent(patterns), fresh("_needs", docs)
     if sent is not None:
-        return docs.withColumn("_needs", F.lit(None).cast("array<struct<pattern:string,kind:string,confidence:double>>")), lambda texts, _: [marked(t, sent.value) for t in texts]
+        return docs.withColumn(name, F.lit(None).cast("array<struct<pattern:string,kind:string,confidence:double>>")), name, lambda texts, _: [marked(t, sent.value) for t in texts]
 
     def run(batches):
         for b in batches:
@@ -172,9 +172,10 @@ def by_partition(docs: DataFrame, patterns: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["_doc", "pattern"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "_doc long, pattern string").distinct()
-    needs = wanted.join(patterns, "pattern").groupBy("_doc").agg(F.collect_list(F.struct("pattern", "kind", "confidence")).alias("_needs"))
-    joined = docs.join(needs, docs["doc_id"].eqNullSafe(needs["_doc"]), "left").drop("_doc")
-    return joined, lambda texts, needs: [marked(t, {x["pattern"]: (x["kind"], x["confidence"]) for x in n or ()}) for t, n in zip(texts, needs, strict=True)]
+    needs = wanted.join(patterns, "pattern").groupBy("_doc").agg(F.collect_list(F.struct("pattern", "kind", "confidence")).alias(name))
+    needs = needs.withColumnRenamed("_doc", own := fresh("_doc", docs))
+    joined = docs.join(needs, F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
+    return joined, name, lambda texts, needs: [marked(t, {x["pattern"]: (x["kind"], x["confidence"]) for x in n or ()}) for t, n in zip(texts, needs, strict=True)]
 
 
 def digest(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def digest(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     A null text counts as empty and has no spans; repeated rows come back alike; texts are scanned whole, in time linear in
     their length.
     """
-    docs, spans = by_partition(docs.select("doc_id", F.col("text").cast("string").alias("text")), patterns)
+    docs, needs, spans = by_partition(docs.select("doc_id", F.col("text").cast("string").alias("text")), patterns)
 
     def run(batches):
         for b in batches:
@@ -195,7 +196,7 @@ def digest(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text", "_needs").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text", needs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -211,14 +212,14 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def mask(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """docs with the personal data of text replaced, n_chars (if there) counting the new text; all other columns as they are."""
     columns = docs.columns
-    docs, spans = by_partition(docs, patterns)
+    docs, name, spans = by_partition(docs, patterns)
 
     @F.arrow_udf("string")
     def hide(text: pa.Array, needs: pa.Array) -> pa.Array:
         texts = text.to_pylist()
         return pa.array([t and masked(t, x) for t, (_, x) in zip(texts, spans(texts, needs.to_pylist()), strict=True)], pa.string())
 
-    out = docs.withColumn("text", hide(F.col("text").cast("string"), "_needs"))
+    out = docs.withColumn("text", hide(F.col("text").cast("string"), name))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*columns)

@@ -138,6 +138,26 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS s
+  FROM worded
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sets s JOIN least l ON s.doc_id = l.doc_id
+"""
+
 
 def _shipped(query):
     @wraps(query)
@@ -149,4 +169,4 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_preference_format, op2_url_filter, op3_pii, op4_mixing, op5_toxicity, op6_topk, op7_decontamination, op8_quality, op9_token_counts, op10_near_dedup)}
-ORACLES = {"op1_preference_format": OP1_SQL, "op4_mixing": OP4_SQL, "op6_topk": OP6_SQL}
+ORACLES = {"op1_preference_format": OP1_SQL, "op4_mixing": OP4_SQL, "op6_topk": OP6_SQL, "op10_near_dedup": OP10_SQL}

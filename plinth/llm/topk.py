@@ -39,13 +39,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products as integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    """Exact inner products as integers; those beyond a long are held at its ends."""
+    most = np.abs(q.astype(np.float64)).max(initial=0) * np.abs(v.astype(np.float64)).max(initial=0) * q.shape[1]
     if most < EXACT:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
     if most < 2.0**62:
         return q @ v.T
-    return (q.astype(object) @ v.astype(object).T)
+    return np.clip(q.astype(object) @ v.astype(object).T, -(2**63 - 1), 2**63 - 1).astype(np.int64)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:

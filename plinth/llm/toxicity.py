@@ -200,13 +200,23 @@ def _terms(word: str) -> Column:
     return F.explode(F.concat(F.array(F.concat(word, F.lit("$"))), F.coalesce(stems, F.array().cast("array<string>")))).alias("term")
 
 
-def choose(holds: dict[str, set[int]], toxic: dict[str, int], n: dict[str, int], family: dict[int, int]) -> list[str]:
-    """Terms by what they gain, without stems and words of those already taken, and without the chance words of copies."""
+def choose(support: dict[str, float], clean: dict[str, int]) -> list[str]:
+    """Terms by what they gain, without stems and words of those already taken. support: toxic documents by word, copies counted once.
+
+    A stem has to gain SUPPORT over the best of its whole words, else that word is the term.
+    """
+    word: dict[str, float] = {}
+    for t in support:
+        if t.endswith("$"):
+            for n in range(SHORTEST, min(len(t) - 1, LONGEST) + 1):
+                word[t[:n]] = max(word.get(t[:n], 0.0), support[t])
     terms: list[str] = []
-    for t in sorted(holds, key=lambda t: (3 * toxic[t] - 2 * n[t], t.endswith("$"), len(t), t), reverse=True):
+    for t in sorted(support, key=lambda t: (support[t] - 2 * clean[t], t.endswith("$"), len(t), t), reverse=True):
         stem = t.removesuffix("$")
+        if t == stem and support[t] < word.get(t, 0.0) + SUPPORT:
+            continue
         within = any(x.startswith(stem) or (not x.endswith("$") and stem.startswith(x)) for x in terms)
-        if not within and len({family[d] for d in holds[t]}) >= SUPPORT:
+        if not within and support[t] >= max(SUPPORT, PRECISION * (support[t] + clean[t])):
             terms.append(t)
     return terms
 
@@ -241,13 +251,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     family = families({r.doc_id: r.sketch for r in worded.where("toxic = 1").select("doc_id", sketch.alias("sketch")).collect()})
     rated = _counted(worded).where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * F.col("n")))
     held = worded.where("toxic = 1").select("doc_id", F.explode("words").alias("word")).select("doc_id", _terms("word")).distinct()
-    holds: dict[str, set[int]] = {}
+    holds: dict[str, tuple[set[int], set[int]]] = {}
+    clean: dict[str, int] = {}
     toxic: dict[str, int] = {}
-    n: dict[str, int] = {}
     for r in held.join(rated, "term").select("term", "doc_id", "toxic", "n").collect():
-        holds.setdefault(r.term, set()).add(r.doc_id)
-        toxic[r.term], n[r.term] = r.toxic, r.n
-    if not (terms := choose(holds, toxic, n, family)):
+        mine = holds.setdefault(r.term, (set(), set()))
+        mine[0].add(r.doc_id)
+        mine[1].add(family[r.doc_id])
+        toxic[r.term], clean[r.term] = r.toxic, r.n - r.toxic
+    # A stem counts once for each of its words in a document, on either side; copies count as one document.
+    support = {t: toxic[t] * len(kinds) / len(own) for t, (own, kinds) in holds.items() if len(kinds) >= SUPPORT}
+    if not (terms := choose(support, clean)):
         return Lexicon([], [], [])
     key = tuple(terms)
 
@@ -268,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
         y, of = seen.get((k, edits, share), (0, 0))
         return (y + prior * weight) / (of + weight)
 
-    priors = [(toxic[t] - 1) / (n[t] + 1) for t in terms]  # cautious: a chance word has few uses
+    priors = [(support[t] - 1) / (support[t] + clean[t] + 1) for t in terms]  # cautious: a chance word has few uses
     return Lexicon(terms, [[rate(k, 0, s, p, 2) for s in range(len(SHARES) + 1)] for k, p in enumerate(priors)], [rate(k, 1, 0, 0.8, 2.5) for k in range(len(terms))])
 
 

@@ -1,0 +1,39 @@
+"""Awkward documents: nulls, empty and long texts, repeated rows, and extra columns whose names the operators use themselves."""
+
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+ROWS = [
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, " \t\n ", "en", "a", 4),
+    (4, LONG, "en", "b", len(LONG)),
+    (None, "some text without an id", "en", "a", 23),
+    (5, "a", "en", None, 1),
+    (6, "the very same words stand here again and again", "en", "b", 46),
+    (6, "the very same words stand here again and again", "en", "b", 46),
+    (7, "the very same words stand here again and again", "de", "c", 46),
+    (8, "日本語 😀 text \x00 end", "en", "é", 17),
+]
+#: Names that the operators use for columns of their own.
+CLASHING = ("size", "target", "taken", "source_size", "whole", "score", "predicted", "n", "value", "component", "node", "a", "b", "held", "toxic", "quality", "pattern", "kind", "spans", "_needs", "_of", "_gone", "rare", "words", "term", "item_id", "rank", "left_words")
+
+
+def odd(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def cluttered(spark):
+    return odd(spark).withColumns({c: F.lit("x") for c in CLASHING})
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.collect()), key=lambda x: (x is None, x))
+
+
+ALL_IDS = [1, 2, 3, 4, 5, 6, 6, 7, 8, None]

@@ -1,0 +1,58 @@
+import os
+import re
+
+import pytest
+
+import corpus_pipeline
+from plinth.llm import decontam, pii, toxicity as tox
+from plinth.llm.queries import ORACLES, QUERIES, held_out
+from tests.llm.test_mixing import brute_targets
+from tests.llm.test_neardup import brute
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{DATA}/{name}.parquet")
+
+
+def test_run_against_plain_code(spark):
+    docs = {r.doc_id: r for r in table(spark, "documents").collect()}
+    lexicon = tox.learn(table(spark, "documents"), table(spark, "labels").where(~held_out(3, 1)))
+    scores = {r.doc_id: r.score for r in tox.toxicity(table(spark, "documents"), lexicon).collect()}
+    left = {i: r for i, r in docs.items() if scores[i] < corpus_pipeline.TOXIC}
+    kept = brute([(i, r.text) for i, r in left.items()], 5)
+    left = {i: r for i, r in left.items() if kept[i][1] == i}
+    items = [decontam.WORDS.findall(r.text.lower()) for r in table(spark, "benchmark").collect()]
+    whole = lambda t, item: f" {' '.join(item)} " in f" {' '.join(decontam.WORDS.findall(t.lower()))} "
+    leaked = {i for i, r in left.items() if any(whole(r.text, item) for item in items)}
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert leaked and not leaked & set(out) and set(out) <= set(left)
+    assert len(out) >= len(left) - len(leaked) - 2  # edited copies of items may go as well
+    sizes = {}
+    for i, r in out.items():
+        assert r.text == pii.masked(docs[i].text, pii.base_spans(docs[i].text)) and r.n_chars == len(r.text)
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = brute_targets(sizes, [5, 2, 1], 1.5, 2)
+    assert all(r.target == pytest.approx(want[r.source], abs=1e-6) for r in out.values())
+
+
+def test_stages_keep_the_columns(spark):
+    docs = table(spark, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_and_sql_agree(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    want = c.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    df = QUERIES[name](spark, DATA).select(*columns)
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.fetchall()))
