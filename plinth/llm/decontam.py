@@ -21,7 +21,7 @@ WORDS = re.compile(r"[^\W_]+")
 SEED, RARE = 3, 1e-6
 #: Alignment scores of equal words, of others and of gaps; least score of a contaminated document as a part of the whole item's.
 EQUAL, OTHER, GAP = 2, -1, -1
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Seeds of an item that a place has to show, and words around them that are aligned besides the item's length.
 HITS, AROUND = 2, 8
 #: Items' words that are held at once; a larger benchmark takes several passes. Characters and cells worked on at once.
