@@ -28,6 +28,8 @@ SHARES = (0.003, 0.008, 0.015)
 SKETCH, ALIKE = 16, 8
 #: Labelled rows that the lexicon is learned from, those of the smallest hash: the documented bound of the sample.
 SAMPLE = 8192
+#: Signs that count as a letter between two letters, as they stand for one.
+MASKS = "*@$#!"
 #: Characters on either side of a match that its context score looks at, and what is left of a match in quotation.
 WINDOW, QUOTED = 48, 0.5
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
@@ -122,13 +124,17 @@ class Automaton:
         for cp in range(0x110000):
             if chr(cp).isalnum():
                 self.cls[cp] = self.letters.get(chr(cp), 1)
+        self.masks = np.zeros(0x110000, bool)
+        self.masks[[ord(c) for c in MASKS]] = True
         if len(letters) > 253:
             raise ValueError("the lexicon has more than 253 different letters")
 
     def matches(self, texts: list[str]):
         """Words of each lower-case text; (text index, start, end, term, edits) of each word that matches."""
         joined = "\n".join(texts) + "\n"
-        cls = self.cls[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cls = self.cls[code]
+        cls[1:-1][self.masks[code[1:-1]] & (cls[:-2] > 0) & (cls[2:] > 0)] = 1
         inside = cls > 0
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:

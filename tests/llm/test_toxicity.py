@@ -54,6 +54,12 @@ def test_several_texts_keep_their_places():
     assert [(i, s, e, edits) for i, s, e, _, edits in found] == [(1, 4, 9, 0), (3, 0, 6, 1), (3, 8, 12, 0)]
 
 
+def test_masked_letters():
+    own = tox.Automaton(TERMS)
+    words, found = own.matches(["id*ot cl0wn scum! idiot*** a*b"])
+    assert words == [5] and [(s, e, edits) for _, s, e, _, edits in found] == [(0, 5, 1), (6, 11, 1), (12, 16, 0), (18, 23, 0)]
+
+
 def test_context_tells_mention_from_use():
     assert tox.context("you idiot", 4, 9) == 1.0
     t = 'the word "idiot" is rude'
