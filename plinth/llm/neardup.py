@@ -138,17 +138,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     linkable = every.where("n > 0 and doc_id is not null")
     classes = settle(linkable.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "sketch")).alias("least")).select("n", "s1", "s2", "least.doc_id", "least.sketch"))
 
-    # Retained values that several classes hold; a class needs as many as a partner at the threshold would share.
+    # Retained values that several classes hold; a class needs as many as a partner at the threshold would share. Counts by value
+    # are written before rows are joined with them: a join of two plain shuffles splits the partition of a hot value.
     values = classes.select("doc_id", "n", F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    common = settle(values.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     wanted = F.least(F.lit(need), F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).cast("int")
     ordered = values.join(common, "value").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("rare"))
     ordered = ordered.withColumn("spare", F.size("rare") - wanted).where("spare >= 0")
     central = F.aggregate("rare", F.lit(0).cast("long"), lambda x, r: x + r["held"])
-    lists = settle(ordered.select("doc_id", central.alias("central"), F.explode(F.slice("rare", F.lit(1), F.col("spare") + 1)).alias("r")).select(F.col("r.value").alias("value"), "doc_id", "central"))
+    lists = settle(ordered.select("doc_id", "n", central.alias("central"), F.explode(F.slice("rare", F.lit(1), F.col("spare") + 1)).alias("r")).select(F.col("r.value").alias("value"), "doc_id", "n", "central"))
 
     # First each list against its most central member.
     heads = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("down"))).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("value", (-F.col("head.down")).alias("head"))
+    heads = settle(heads)
     pairs = lists.join(heads, "value").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     sk = classes.select("doc_id", "n", "sketch")
     sketches = lambda side: sk.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
@@ -164,12 +166,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     found = components(exact)
 
     # Then the lists that still hold several components, each set of members once, in tiles.
-    labelled = settle(lists.join(found, lists["doc_id"] == found["node"], "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    open_lists = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("low < high")
-    open_lists = open_lists.groupBy("size", "x", "y").agg(F.min("value").alias("value")).select("value", "size")
-    sized = labelled.join(open_lists, "value").join(classes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
-    weight = sized.groupBy("value").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    members = sized.join(weight, "value").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("tiles")).cast("int"))
+    labelled = settle(lists.join(found, lists["doc_id"] == found["node"], "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    weight = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")
+    open_lists = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), weight).where("low < high")
+    open_lists = settle(open_lists.groupBy("size", "x", "y").agg(F.min("value").alias("value"), F.max("tiles").alias("tiles")).select("value", "tiles"))
+    members = labelled.join(open_lists, "value").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
     tiles = members.join(full, "doc_id").groupBy("value", "i", "j").applyInArrow(_tiled(threshold), "a long, b long")
     names = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
