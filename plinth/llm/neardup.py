@@ -20,9 +20,9 @@ from plinth.llm import shingles
 from plinth.llm.common import fresh, settle
 
 #: Retained values, and the chance that a pair at the threshold is missed by what its sketches have to share.
-K, MISSED = 48, 1e-9
+K, MISSED = 32, 1e-9
 #: Members and shingles of a tile, about.
-TILE, TILE_SHINGLES = 1500, 1_000_000
+TILE, TILE_SHINGLES = 3000, 1_500_000
 
 
 def least_shared(k: int, threshold: float) -> int:
