@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from plinth.llm.common import chunks
 
 #: Columns of either kind of trigram, latent axes, neighbours that vote, and the sharpness of their weights.
-COLUMNS, AXES, NEIGHBOURS, SHARPNESS = 1024, 64, 15, 4.0
+COLUMNS, AXES, NEIGHBOURS, SHARPNESS = 1024, 64, 9, 12.0
 #: Labelled rows that vote, those of the smallest hash: the documented bound of what is fitted and broadcast.
 SAMPLE = 3072
 CHUNK, BLOCK = 1_000_000, 512
