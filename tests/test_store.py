@@ -133,6 +133,43 @@ def test_october_and_years():
     assert [parse(f"U22203{y}{0}G"[:7] + f"{y}G").year for y in (3, 4, 9, 0)] == [2023, 2014, 2019, 2020]
 
 
+def scanned(df):
+    """Rows that left the scans of an executed query."""
+    df.collect()
+    plan, n, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if name.startswith("Scan parquet"):
+            n += p.metrics().apply("numOutputRows").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return n
+
+
+def test_clustering_prunes_row_groups(spark, tmp_path):
+    n = 40_000
+    rows = spark.range(n).select(
+        F.expr("concat(2014 + id % 10, '-', lpad(1 + (id div 10) % 12, 2, '0'))").alias("month"),
+        F.element_at(F.array(*map(F.lit, d.TOWNS)), (F.col("id") * 7 % 26 + 1).cast("int")).alias("town"),
+        *[F.lit(x).alias(c) for c, x in (("flat_type", "4 ROOM"), ("storey_range", "01 TO 03"), ("flat_model", "Model A"), ("lease_commence_date", "1990"), ("block", "1"), ("street_name", "S"))],
+        (F.col("id") % 150).cast("double").alias("floor_area_sqm"),
+        (F.col("id") * 1.0).alias("resale_price"),
+    )
+    path = str(tmp_path / "s")
+    store.write(store.encoded(rows), path, files=6, row_group=8 << 10)
+    q = price_query(60, 7, 80)
+    got = q.run(store.read(spark, path))
+    assert 0 < scanned(got) < n / 5
+    assert got.first() == q.run(store.encoded(rows)).first()
+
+
 def test_command_line(spark, csv, tmp_path, capsys):
     args = ["--code", "U2220371G", "--data", csv, "--store", str(tmp_path / "s"), "--results", str(tmp_path / "r")]
     assert cli.main(args, spark) == 0
