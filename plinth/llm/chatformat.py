@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plinth.llm.common import settle
+
 #: What opens and closes a rendered turn.
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 TRAINED = "assistant"
@@ -18,38 +20,26 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN.split("{}")[0]), F.coalesce(role, F.lit("")), F.lit(OPEN.split("{}")[1]), F.coalesce(text, F.lit("")), F.lit(CLOSE))
 
 
-def turns(conversations: DataFrame, pair: Column, side: Column) -> DataFrame:
-    """Both sides' turns by place: pair_id, turn, chosen and rejected (texts of all rows of that turn, in order, null without).
-
-    A turn that has several rows, as with ties or repeated rows, is their sorted distinct renderings; rows with a null pair or
-    side take no part; a null turn comes first.
-    """
-    t = conversations.select(pair.alias("pair_id"), side.alias("side"), F.col("turn").cast("long").alias("turn"), F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t")).where("pair_id is not null and side is not null")
-    each = t.groupBy("pair_id", "turn", "side", "t").agg(F.lit(1).alias("one"))
-    sides = [F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("t")))).alias(s) for s in ("chosen", "rejected")]
-    return each.groupBy("pair_id", "turn").agg(*sides)
-
-
 def preference(conversations: DataFrame, pair: Column, side: Column) -> DataFrame:
     """Preference rows by turn: pair_id, part (prompt, chosen, rejected), turn, text, trained.
 
     side is 'chosen' or 'rejected'. The longest common prefix of the two sides is the part prompt, once; the turns
     after it are the parts chosen and rejected, with trained true for assistant turns only. A part's text is its rows' texts
-    in order of turn, so a conversation of any length needs no row that holds it whole. A pair with one side only has no prompt
-    and an empty other completion. An empty table gives an empty result.
+    in order of turn, so a conversation of any length needs no row or task that holds it whole. A pair with one side only has no
+    prompt and an empty other completion. A turn with several rows, as with ties, is common if both sides have the same set
+    of them, and stays several rows; repeated rows count once; a null turn comes first; rows with a null pair or side take no
+    part. An empty table gives an empty result.
     """
-    both = turns(conversations, pair, side)
-    same = (F.size("chosen") > 0) & F.col("chosen").eqNullSafe(F.col("rejected"))
-    # Where the sides part, null turns first; pairs that never part have no such row.
-    parts = both.where(~same).groupBy("pair_id").agg(F.min(F.coalesce("turn", F.lit(-(2**63)))).alias("parts_at"))
+    role, text = F.col("role").cast("string"), F.col("text").cast("string")
+    rows = conversations.select(pair.alias("pair_id"), side.alias("side"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).where("pair_id is not null and side is not null").distinct()
+    # A side's rows at a turn are told by their number and two sums of hashes, so that none of them has to be gathered.
     place = F.coalesce("turn", F.lit(-(2**63)))
-    joined = both.join(parts, "pair_id", "left").withColumn("common", F.col("parts_at").isNull() | (place < F.col("parts_at")))
-    pieces = F.when(F.col("common"), F.array(_piece("prompt", "chosen"))).otherwise(F.array(_piece("chosen", "chosen"), _piece("rejected", "rejected")))
-    out = joined.select("pair_id", "turn", F.inline(pieces)).where(F.size("rows") > 0)
-    text = F.concat_ws("", F.transform("rows", lambda r: rendered(r["role"], r["text"])))
-    trained = (F.col("part") != "prompt") & F.exists("rows", lambda r: F.coalesce(r["role"] == TRAINED, F.lit(False)))
-    return out.select("pair_id", "part", "turn", text.alias("text"), trained.alias("trained"))
-
-
-def _piece(part: str, column: str) -> Column:
-    return F.struct(F.lit(part).alias("part"), F.col(column).alias("rows"))
+    hashes = [F.xxhash64(F.lit(salt), F.struct("role", "text")) for salt in (1, 2)]
+    sums = [F.struct(*[F.bit_xor(F.when(F.col("side") == s, h)) for h in hashes], F.count_if(F.col("side") == s)) for s in ("chosen", "rejected")]
+    places = rows.groupBy("pair_id", place.alias("place")).agg(sums[0].alias("chosen"), sums[1].alias("rejected"))
+    parts = settle(places.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy("pair_id").agg(F.min("place").alias("parts_at")))
+    joined = rows.join(parts, "pair_id", "left").withColumn("common", F.col("parts_at").isNull() | (place < F.col("parts_at")))
+    out = joined.where(~F.col("common") | (F.col("side") == "chosen"))
+    part = F.when(F.col("common"), "prompt").otherwise(F.col("side"))
+    trained = ~F.col("common") & F.coalesce(F.col("role") == TRAINED, F.lit(False))
+    return out.select("pair_id", part.alias("part"), "turn", rendered(F.col("role"), F.col("text")).alias("text"), trained.alias("trained"))

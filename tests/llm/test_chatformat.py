@@ -5,6 +5,12 @@ from plinth.llm.chatformat import preference, rendered
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def test_ties_are_compared_as_sets(spark):
+    rows = [(0, 0, "user", "a"), (0, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "user", "a"), (0, 1, "assistant", "c"), (0, 1, "assistant", "d"), (1, 1, "assistant", "c"), (2, 0, "user", "x"), (2, 0, None, "x"), (3, 0, "user", None), (3, 0, "user", "x")]
+    out = pairs(spark, rows)
+    assert [(r.pair_id, r.part, r.turn) for r in out] == [(0, "prompt", 0)] * 2 + [(0, "chosen", 1)] * 2 + [(0, "rejected", 1)] + [(1, "chosen", 0)] * 2 + [(1, "rejected", 0)] * 2
+
+
 def pairs(spark, rows, **more):
     df = spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit(v) for k, v in more.items()})
     pair, side = F.floor(F.col("conv_id") / 2).cast("long"), F.when(F.col("conv_id") % 2 == 0, "chosen").when(F.col("conv_id").isNotNull(), "rejected")
@@ -46,7 +52,7 @@ def test_awkward_rows(spark):
     by_pair = {p: told([r for r in out if r.pair_id == p]) for p in range(5)}
     assert by_pair[0] == by_pair[1] == [("prompt", 0, False)] and by_pair[2] == [("chosen", 0, True)]
     assert by_pair[3] == [("prompt", None, False), ("chosen", 1, True), ("rejected", 1, True)]
-    assert by_pair[4] == [("prompt", 0, False)]
+    assert by_pair[4] == [("prompt", 0, False)] * 2
     assert pairs(spark, [])  == []
 
 
