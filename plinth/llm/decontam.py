@@ -25,7 +25,7 @@ THRESHOLD = 0.4
 #: Seeds of an item that a place has to show, and words around them that are aligned besides the item's length.
 HITS, AROUND = 2, 8
 #: Items' words that are held at once; a larger benchmark takes several passes. Characters and cells worked on at once.
-HELD, CHUNK, CELLS = 2_000_000, 1_000_000, 4_000_000
+HELD, CHUNK, CELLS = 500_000, 1_000_000, 4_000_000
 
 
 class Items:

@@ -121,8 +121,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 
 
 def quality(docs: DataFrame, voters: Voters, threshold: float = 0.3) -> DataFrame:
-    """Returns doc_id, score, predicted (1 if score >= threshold) for every row: null and empty texts score as the vector of
-    zeros does, repeated rows alike, and no row is dropped."""
+    """Returns doc_id, score, predicted (1 if score >= threshold) for every row.
+
+    Texts of any length are read whole; null and empty texts score as the vector of zeros does, repeated rows alike, ties among
+    neighbours in the order of the sample; rows with a null doc_id stay, and an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(voters)  # at most SAMPLE vectors and the axes
 
     def run(batches):

@@ -6,7 +6,7 @@ import numpy as np
 
 from plinth.llm.common import chunks
 
-CHUNK = 1_500_000
+CHUNK = 400_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -309,5 +309,9 @@ def score(lexicon: Lexicon):
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """Returns doc_id, score, predicted (1 if score >= threshold) for every row; no row is dropped, repeated rows score alike."""
+    """Returns doc_id, score, predicted (1 if score >= threshold) for every row.
+
+    Texts of any length are read whole; null and empty texts score 0, repeated rows alike; rows with a null doc_id stay, and an empty
+    table gives an empty result.
+    """
     return docs.select("doc_id", score(lexicon)(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
