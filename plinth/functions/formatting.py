@@ -1,4 +1,4 @@
-"""Text forms of records (V2, V3)."""
+"""Text forms of records."""
 
 from __future__ import annotations
 
@@ -20,3 +20,9 @@ def short_float(x: Column) -> Column:
 def as_fields() -> list[Column]:
     """The ten fields of a typed record as text."""
     return [(short_float(F.col(f.name)) if f.name in NUMERIC else F.col(f.name)).alias(f.name) for f in FIELDS]
+
+
+def line_bytes(fields: list[Column]) -> Column:
+    """Bytes of a delimited line of these fields: their UTF-8 lengths, the delimiters and the line end."""
+    lengths = [F.octet_length(F.coalesce(c.cast("string"), F.lit(""))) for c in fields]
+    return sum(lengths[1:], lengths[0]) + len(fields)

@@ -13,19 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plinth.functions.aggregates import Metric
 from plinth.functions.arithmetic import compute
 from plinth.functions.dictionaries import decode, decode_month, encode, encode_month, month_ordinal
-from plinth.functions.formatting import short_float
+from plinth.functions.formatting import line_bytes, short_float
 from plinth.functions.predicates import Exact, Months, Range
 from plinth.operators import blocks, rle
 from plinth.operators.positions import with_positions
 from plinth.plans.params import parse_columns
 from plinth.plans.query import Query
+from plinth.sources import store
 from plinth.sources.records import reject_reason
 from plinth.sources.results import long_form
 
 EPOCH = (1995, 1)
 MONTHS = Months("l_shipdate", 30, 31, EPOCH)
 FLAG, AREA = Exact("l_returnflag", "R"), Range("l_quantity", 20.0)
-STATUSES = ("F", "O", "P")
+FLAGS, STATUSES = ("A", "N", "R"), ("F", "O", "P")
 #: The 25 brands, by their rule.
 BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 #: Decimals that averages and deviations are compared in.
@@ -323,3 +324,27 @@ def _code() -> Column:
 SELECT o_orderkey, year, month, (year - 2014) * 12 + month - 1 AS month_code, m AS town_code FROM e""")
 def code_to_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", *parse_columns(_code()))
+
+
+@query("SELECT p_partkey, (strlen(p_name) + strlen(p_brand) + strlen(p_type) + 3)::INTEGER AS bytes FROM part")
+def record_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of a record's line."""
+    return _table(spark, sf_dir, "part").select("p_partkey", line_bytes([F.col(c) for c in ("p_name", "p_brand", "p_type")]).alias("bytes"))
+
+
+@query(f"SELECT {PRICES_SQL} FROM lineitem WHERE {WHERE_SQL}")
+def store_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query over a store that is built first: encoded, clustered by month and flag, pruned when read."""
+    rows = _lineitem(spark, sf_dir).select(month_ordinal(F.col("l_shipdate"), EPOCH).alias("month_code"), encode(F.col("l_returnflag"), FLAGS).alias("flag_code"), "l_quantity", "l_extendedprice")
+    path = store.scratch(spark, "lineitem")
+    store.write(rows, path, order=("month_code", "flag_code"))
+    return _rounded(Query([Range("month_code", 30, 31), Exact("flag_code", 2), AREA], _prices()).run(store.read(spark, path)))
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_size::VARCHAR AS p_size FROM part")
+def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as delimited text and read back."""
+    rows = _table(spark, sf_dir, "part").select(*[F.col(c).cast("string") for c in ("p_partkey", "p_name", "p_size")])
+    path = store.scratch(spark, "part-text")
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
