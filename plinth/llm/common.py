@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -51,6 +52,22 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+_BREAK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def pieces(text: str, limit: int):
+    """(offset, piece) of a text: pieces of about limit characters that begin at white space, so that no word is cut."""
+    if len(text) <= limit:
+        yield 0, text
+        return
+    at = 0
+    while at < len(text):
+        m = _BREAK.search(text, at + limit)
+        end = m.start() if m else len(text)
+        yield at, text[at:end]
+        at = end
+
+
 def chunks(texts: list[str | None], limit: int):
     """(first, last) index ranges of texts whose characters sum to at most limit, one text at least."""
     first, total = 0, 0

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import chunks
+from plinth.llm.common import chunks, pieces
 
 WORDS = re.compile(r"[^\W_]+")
 #: Words of a seed, and how often it may be expected at a place of a text by the frequencies of its words.
@@ -62,13 +62,14 @@ class Items:
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of the texts (-1 for words of no item), and where each text's begin."""
-        get, out, begin, at = self.number.get, [], [0], 0
+        get, out, begin, at = self.number.get, [np.zeros(0, np.int64)], [0], 0
         for t in texts:
-            found = WORDS.findall(t.lower()) if t else []
-            at += len(found)
+            for _, piece in pieces(t or "", CHUNK):
+                found = [get(w, -1) for w in WORDS.findall(piece.lower())]
+                at += len(found)
+                out.append(np.array(found, np.int64))
             begin.append(at)
-            out += [get(w, -1) for w in found]
-        return np.array(out, np.int64), np.array(begin)
+        return np.concatenate(out), np.array(begin)
 
     def candidates(self, words: np.ndarray, begin: np.ndarray):
         """(text, item, from, to) of the places to align: word ranges around seeds that lie near one diagonal."""

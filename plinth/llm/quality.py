@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import chunks
+from plinth.llm.common import chunks, pieces
 
 #: Columns of either kind of trigram, latent axes, neighbours that vote, and the sharpness of their weights.
 COLUMNS, AXES, NEIGHBOURS, SHARPNESS = 1024, 64, 9, 12.0
@@ -61,19 +61,26 @@ def features(texts: list[str | None]) -> np.ndarray:
     """Logarithmic counts of hashed trigrams, one row per text; a null or empty text has a row of zeros."""
     out = np.zeros((len(texts), 2 * COLUMNS), np.float32)
     for a, b in chunks(texts, CHUNK):
-        own = [t or "" for t in texts[a:b]]
-        code = np.frombuffer("\0".join([*own, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(code) < 4:
-            continue
-        row = np.repeat(np.arange(b - a, dtype=np.int64), [len(t) + 1 for t in own])
-        low = np.frombuffer("\0".join([*(t.lower() if len(t.lower()) == len(t) else t for t in own), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = (code[:-2] > 0) & (code[1:-1] > 0) & (code[2:] > 0)
-        row = row[:-2][inside]
-        for k, x in enumerate((low, shaped(code))):
-            h = x[:-2] * SPREAD[0] + x[1:-1] * SPREAD[1] + x[2:] * SPREAD[2]
-            h = ((h ^ (h >> np.uint32(15))) * SPREAD[1] >> np.uint32(22))[inside]
-            counts = np.bincount(row * COLUMNS + h, minlength=(b - a) * COLUMNS).reshape(b - a, COLUMNS)
-            out[a:b, k * COLUMNS : (k + 1) * COLUMNS] = np.log1p(counts)
+        if b - a > 1:
+            out[a:b] = _counts([t or "" for t in texts[a:b]])
+        else:
+            out[a] = sum((_counts([p])[0] for _, p in pieces(texts[a] or "", CHUNK)), np.zeros(2 * COLUMNS))
+    return np.log1p(out)
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), 2 * COLUMNS), np.float32)
+    code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(code) < 4:
+        return out
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 1 for t in texts])
+    low = np.frombuffer("\0".join([*(t.lower() if len(t.lower()) == len(t) else t for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = (code[:-2] > 0) & (code[1:-1] > 0) & (code[2:] > 0)
+    row = row[:-2][inside]
+    for k, x in enumerate((low, shaped(code))):
+        h = x[:-2] * SPREAD[0] + x[1:-1] * SPREAD[1] + x[2:] * SPREAD[2]
+        h = ((h ^ (h >> np.uint32(15))) * SPREAD[1] >> np.uint32(22))[inside]
+        out[:, k * COLUMNS : (k + 1) * COLUMNS] = np.bincount(row * COLUMNS + h, minlength=len(texts) * COLUMNS).reshape(len(texts), COLUMNS)
     return out
 
 

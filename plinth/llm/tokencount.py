@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 #: Segments and piece pairs that a worker keeps; a full table is emptied, which costs time and no result.
 SEGMENTS, PAIRS, LONGEST_KEPT = 300_000, 1_000_000, 48
+#: Texts longer than this aren't held as a list of segments.
+LONG = 1_000_000
+_SEGMENT = re.compile(r"[▁\n]+[^▁\n]*")
 
 
 class PrefixCounter:
@@ -86,9 +89,12 @@ class PrefixCounter:
         return out + [base + c for c in self.run(segment[at:])]
 
     @staticmethod
-    def segments(text: str) -> list[str]:
-        """The text with its leading space, parted before each run of spaces and line feeds."""
-        return re.findall(r"[▁\n]+[^▁\n]*", SPACE + text.replace(" ", SPACE)) if text else []
+    def segments(text: str):
+        """The text with its leading space, parted before each run of spaces and line feeds; those of a long text one by one."""
+        if not text:
+            return []
+        text = SPACE + text.replace(" ", SPACE)
+        return _SEGMENT.findall(text) if len(text) <= LONG else (m[0] for m in _SEGMENT.finditer(text))
 
     def count(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.segments(text)))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plinth.llm.common import chunks, settle
+from plinth.llm.common import chunks, pieces, settle
 
 #: Words shorter than this are matched exactly only; a term's length in characters, from and to.
 FUZZY_FROM, SHORTEST, LONGEST = 5, 3, 10
@@ -47,7 +47,7 @@ class Lexicon:
 
 
 class Automaton:
-    """Deterministic table for: a word that is a term, starts with a stem, or is one edit from a whole-word term."""
+    """Deterministic table for: a word that is a term, starts with a stem, or is one edit (or two letters that changed places) from a whole-word term."""
 
     def __init__(self, terms: tuple[str, ...]):
         trie: list[dict[str, int]] = [{}]
@@ -75,17 +75,22 @@ class Automaton:
         def step(state: frozenset, c: str | None) -> frozenset | tuple:
             out = set()
             for node, e in state:
+                if e == 2:  # two letters changed places: the other one has to follow
+                    node, other = node
+                    out |= {(node, 1)} if c == other else set()
+                    continue
                 if (child := trie[node].get(c)) is not None and (e == 0 or child in fuzzy):
                     if e == 0 and child in stem:
                         return ("stem", stem[child])
                     out.add((child, e))
                 if e == 0 and node in fuzzy:
                     out.add((node, 1))  # one letter too many
-                    for child in trie[node].values():
+                    for letter, child in trie[node].items():
                         if child in fuzzy:
                             out.add((child, 1))  # another letter
                             if (skipped := trie[child].get(c)) is not None and skipped in fuzzy:
                                 out.add((skipped, 1))  # a letter is missing
+                                out.add(((skipped, letter), 2))
             return frozenset((n, e) for n, e in out if not (e == 1 and (n, 0) in out))
 
         def ends(state) -> tuple[int, int]:
@@ -94,7 +99,7 @@ class Automaton:
                 return state[1], 0
             found = []
             for node, e in state:
-                if node in whole and (e == 0 or long_enough(node)):
+                if e < 2 and node in whole and (e == 0 or long_enough(node)):
                     found.append((e, whole[node]))
                 if e == 0 and node in fuzzy:
                     found += [(1, whole[x]) for x in trie[node].values() if x in whole and long_enough(x)]
@@ -182,7 +187,14 @@ def findings(texts: list[str | None], terms: tuple[str, ...]) -> list[tuple[int,
     own = _automaton(terms)
     for a, b in chunks(texts, CHUNK):
         low = [(t or "").lower() for t in texts[a:b]]
-        words, found = own.matches(low)
+        if b - a > 1:
+            words, found = own.matches(low)
+        else:
+            words, found = [0], []
+            for offset, piece in pieces(low[0], CHUNK):
+                n, more = own.matches([piece])
+                words[0] += n[0]
+                found += [(0, s + offset, e + offset, term, edits) for _, s, e, term, edits in more]
         out += [(n, []) for n in words]
         for i, s, e, term, edits in found:
             out[a + i][1].append((term, edits, context(low[i], s, e)))

@@ -21,6 +21,17 @@ def test_alignment_against_the_full_table():
     assert d.align(pairs).tolist() == [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs]
 
 
+def test_pieces_change_nothing(monkeypatch):
+    docs, items, _ = corpus()
+    own, texts = d.Items(items), [t for _, t, *_ in docs] + [None, ""]
+    words, begin = own.numbers(texts)
+    own.seed(np.ones(len(own.number)), 10**6)
+    found = d.leaks(texts, own, 0.4)
+    monkeypatch.setattr(d, "CHUNK", 50)
+    again = own.numbers(texts)
+    assert (again[0] == words).all() and (again[1] == begin).all() and d.leaks(texts, own, 0.4) == found
+
+
 def corpus():
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abdefghklmnprstu") for _ in range(rng.randrange(2, 7))) for _ in range(900)]

@@ -66,6 +66,7 @@ def test_sets_have_the_right_sizes_in_any_chunks(monkeypatch):
     assert [len(s) for s in whole] == [len(plain_set(t, 4)) for t in texts]
     monkeypatch.setattr(shingles, "CHUNK", 50)
     assert [s.tolist() for s in shingles.sets(texts, 4)] == whole
+    assert [next(shingles.sets([t], 4)).tolist() for t in texts] == whole
     a, b = (set(x.tolist()) for x in shingles.sets(["p q r s t", "P Q R S x"], 4))
     assert len(a & b) == 1
 

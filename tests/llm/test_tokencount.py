@@ -32,6 +32,15 @@ def test_random_texts(own):
         assert own.cut(text, budget) == max([i + 1 for i, n in enumerate(table) if n <= budget], default=0), text
 
 
+def test_long_texts_are_walked(own, monkeypatch):
+    import plinth.llm.tokencount as m
+
+    text = " many words in\n one  long text " * 40
+    want, cut = len(own.sp.encode(text)), own.cut(text, 50)
+    monkeypatch.setattr(m, "LONG", 10)
+    assert own.count(text) == want and own.cut(text, 50) == cut
+
+
 def test_rows(spark, own):
     got = token_counts(odd(spark), MODEL, limit=10).collect()
     want = sorted((repr(i), len((t or "").encode()), len(own.sp.encode(t or "")), len(own.sp.encode(t or "")) > 10) for i, t, *_ in ROWS)
