@@ -22,7 +22,7 @@ from plinth.llm.common import fresh, settle
 #: Retained values, and the chance that a pair at the threshold is missed by what its sketches have to share.
 K, MISSED = 32, 1e-9
 #: Members and shingles of a tile, about.
-TILE, TILE_SHINGLES = 3000, 1_500_000
+TILE, TILE_SHINGLES = 400, 400_000
 
 
 def least_shared(k: int, threshold: float) -> int:
@@ -165,14 +165,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     exact = pairs.join(sets("a"), "a").join(sets("b"), "b").where(_alike(shared, F.size("full_a"), F.size("full_b"), threshold)).select("a", "b")
     found = components(exact)
 
-    # Then the lists that still hold several components, each set of members once, in tiles.
+    # Then the lists that still hold several components. Lists of one group of copies have nearly the same members, and mostly the
+    # same least member by hash: those are compared as one, their union, in tiles.
     labelled = settle(lists.join(found, lists["doc_id"] == found["node"], "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
-    weight = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")
-    open_lists = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), weight).where("low < high")
-    open_lists = settle(open_lists.groupBy("size", "x", "y").agg(F.min("value").alias("value"), F.max("tiles").alias("tiles")).select("value", "tiles"))
-    members = labelled.join(open_lists, "value").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("tiles")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
-    tiles = members.join(full, "doc_id").groupBy("value", "i", "j").applyInArrow(_tiled(threshold), "a long, b long")
+    open_lists = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.xxhash64("doc_id", F.lit(1))).alias("list")).where("low < high")
+    united = settle(labelled.join(settle(open_lists.select("value", "list")), "value").select("list", "doc_id", "n", "component").distinct())
+    tiles_of = settle(united.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")))
+    members = united.join(tiles_of, "list").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("tiles")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    tiles = members.join(full, "doc_id").groupBy("list", "i", "j").applyInArrow(_tiled(threshold), "a long, b long")
     names = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     more = tiles.distinct().join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     merged = components(more)
