@@ -56,13 +56,22 @@ def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, full (sorted shingle hashes) of every row."""
+    """doc_id, full (sorted shingle hashes) of every row; rows that repeat the document before them are left out."""
 
     def run(batches):
+        last, seen = None, set()
         for b in batches:
-            own = [x.view(np.int64) for x in shingles.sets(b.column(1).to_pylist(), width)]
+            ids, own = [], []
+            for i, x in zip(b.column(0).to_pylist(), shingles.sets(b.column(1).to_pylist(), width), strict=True):
+                if i != last:
+                    last, seen = i, set()
+                if (sign := (len(x), int(x.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(x, initial=0)))) not in seen:
+                    seen.add(sign)
+                    ids.append(i)
+                    own.append(x.view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))], ["doc_id", "full"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "full"])
 
     return docs.mapInArrow(run, "doc_id long, full array<long>")
 
@@ -159,7 +168,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     pairs = settle(estimated.select("a", "b", "n_a", "n_b"))
     involved = lists.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved, "doc_id")
-    full = settle(full_sets(texts.select("doc_id", "text"), width))
+    full = settle(full_sets(texts.select("doc_id", "text").sortWithinPartitions("doc_id"), width))
     sets = lambda side: full.select(F.col("doc_id").alias(side), F.col("full").alias(f"full_{side}"))
     shared = F.size(F.array_intersect("full_a", "full_b"))
     exact = pairs.join(sets("a"), "a").join(sets("b"), "b").where(_alike(shared, F.size("full_a"), F.size("full_b"), threshold)).select("a", "b")

@@ -98,6 +98,15 @@ def test_awkward_rows(spark, make):
     assert ids(left) == [x for x in ALL_IDS if x != 7] and left.columns == make(spark).columns
 
 
+def test_repeated_rows_are_held_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 0)] * 300 + [(2, text + " more", "en", "a", 0)] * 300 + [(3, "w1 " + text, "en", "a", 0), (3, "other words", "en", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    full = neardup.full_sets(df.select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id"), 5)
+    assert full.count() == 4
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     assert neardup.deduplicate(odd(spark).where(F.col("doc_id") < 3)).count() == 2
