@@ -22,7 +22,7 @@ from plinth.llm.common import fresh, settle
 #: Retained values, and the chance that a pair at the threshold is missed by what its sketches have to share.
 K, MISSED = 32, 1e-9
 #: Members and shingles of a tile, about.
-TILE, TILE_SHINGLES = 400, 400_000
+TILE, TILE_SHINGLES = 300, 400_000
 
 
 def least_shared(k: int, threshold: float) -> int:
