@@ -44,6 +44,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sliced(column, rows: int = 256):
+    """The values of an Arrow column in lists of so many: a batch's texts are never all held as Python strings."""
+    for i in range(0, len(column), rows):
+        yield column.slice(i, rows).to_pylist()
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import chunks, pieces
+from plinth.llm.common import chunks, pieces, sliced
 
 WORDS = re.compile(r"[^\W_]+")
 #: Words of a seed, and how often it may be expected at a place of a text by the frequencies of its words.
@@ -171,9 +171,8 @@ def blocks(docs: DataFrame, benchmark: DataFrame, held: int = HELD):
             own = sent.value
             counts = np.zeros(len(own.number) + 1, np.int64)
             for b in batches:
-                texts = b.column(0).to_pylist()
-                for i, j in chunks(texts, CHUNK):
-                    words, _ = own.numbers(texts[i:j])
+                for texts in sliced(b.column(0)):
+                    words, _ = own.numbers(texts)
                     counts += np.bincount(words + 1, minlength=len(counts))
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at - 1, pa.int32()), pa.array(counts[at])], ["word", "n"])
@@ -197,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
         def run(batches, sent=sent):
             for b in batches:
-                found = leaks(b.column(1).to_pylist(), sent.value, threshold)
+                found = [f for part in sliced(b.column(1)) for f in leaks(part, sent.value, threshold)]
                 rows = [(i, sent.value.ids[item], *rest) for i, f in enumerate(found) for item, *rest in f]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([r[0] for r in rows], pa.int32())), *(pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
@@ -219,6 +218,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def _clean(sent, threshold: float):
     @F.arrow_udf("boolean")
     def clean(text: pa.Array) -> pa.Array:
-        return pa.array([not f for f in leaks(text.to_pylist(), sent.value, threshold)], pa.bool_())
+        return pa.array([not f for part in sliced(text) for f in leaks(part, sent.value, threshold)], pa.bool_())
 
     return clean

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.llm import shingles
-from plinth.llm.common import fresh, settle
+from plinth.llm.common import fresh, settle, sliced
 
 #: Retained values, and the chance that a pair at the threshold is missed by what its sketches have to share.
 K, MISSED = 32, 1e-9
@@ -42,7 +42,7 @@ def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             n, s1, s2, sketch = [], [], [], []
-            for own in shingles.sets(b.column(1).to_pylist(), width):
+            for own in (x for part in sliced(b.column(1)) for x in shingles.sets(part, width)):
                 n.append(len(own))
                 s1.append(int(own.sum(dtype=np.uint64)))
                 s2.append(int(np.bitwise_xor.reduce(shingles.mixed(own), initial=0)) if len(own) else 0)
@@ -62,7 +62,8 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
         last, seen = None, set()
         for b in batches:
             ids, own = [], []
-            for i, x in zip(b.column(0).to_pylist(), shingles.sets(b.column(1).to_pylist(), width), strict=True):
+            every = (x for part in sliced(b.column(1)) for x in shingles.sets(part, width))
+            for i, x in zip(b.column(0).to_pylist(), every, strict=True):
                 if i != last:
                     last, seen = i, set()
                 if (sign := (len(x), int(x.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(x, initial=0)))) not in seen:

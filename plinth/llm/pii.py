@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import fresh, settle
+from plinth.llm.common import fresh, settle, sliced
 
 #: Kinds in their order, and their patterns. Possessive forms of the same languages, so that no text is scanned twice.
 KINDS = ("email", "ip", "card", "phone")
@@ -98,7 +98,7 @@ def graph(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = set()
-            for t in b.column(0).to_pylist():
+            for t in (t for part in sliced(b.column(0)) for t in part):
                 if not t:
                     continue
                 base = base_spans(t)
@@ -188,7 +188,7 @@ def digest(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            both = spans(b.column(1).to_pylist(), b.column(2).to_pylist())
+            both = [x for parts in zip(sliced(b.column(1)), sliced(b.column(2)), strict=True) for x in spans(*parts)]
             n = [[sum(k == kind for k, _, _ in base) for base, _ in both] for kind in KINDS]
             sha = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in both]
             yield pa.RecordBatch.from_arrays(
@@ -216,8 +216,10 @@ def mask(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def hide(text: pa.Array, needs: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        return pa.array([t and masked(t, x) for t, (_, x) in zip(texts, spans(texts, needs.to_pylist()), strict=True)], pa.string())
+        out = []
+        for texts, own in zip(sliced(text), sliced(needs), strict=True):
+            out += [t and masked(t, x) for t, (_, x) in zip(texts, spans(texts, own), strict=True)]
+        return pa.array(out, pa.string())
 
     out = docs.withColumn("text", hide(F.col("text").cast("string"), name))
     if "n_chars" in columns:

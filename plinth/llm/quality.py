@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import chunks, pieces
+from plinth.llm.common import chunks, pieces, sliced
 
 #: Columns of either kind of trigram, latent axes, neighbours that vote, and the sharpness of their weights.
 COLUMNS, AXES, NEIGHBOURS, SHARPNESS = 1024, 64, 9, 12.0
@@ -137,7 +137,7 @@ def quality(docs: DataFrame, voters: Voters, threshold: float = 0.3) -> DataFram
 
     def run(batches):
         for b in batches:
-            score = sent.value.score(b.column(1).to_pylist())
+            score = np.concatenate([np.zeros(0), *(sent.value.score(part) for part in sliced(b.column(1), BLOCK))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plinth.llm.common import chunks, pieces, settle
+from plinth.llm.common import chunks, pieces, settle, sliced
 
 #: Words shorter than this are matched exactly only; a term's length in characters, from and to.
 FUZZY_FROM, SHORTEST, LONGEST = 5, 3, 10
@@ -286,7 +286,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     def matched(batches):
         for b in batches:
             rows = []
-            for y, (words, found) in zip(b.column(0).to_pylist(), findings(b.column(1).to_pylist(), key), strict=True):
+            scanned = (x for part in sliced(b.column(1)) for x in findings(part, key))
+            for y, (words, found) in zip(b.column(0).to_pylist(), scanned, strict=True):
                 # The uses of terms, or the edited forms in a text without any.
                 edits = int(all(e for _, e, _ in found))
                 rows += [(k, edits, shares(words, found), y) for k in sorted({k for k, e, _ in found if e == edits})]
@@ -311,7 +312,7 @@ def score(lexicon: Lexicon):
     @F.arrow_udf("double")
     def toxicity(text: pa.Array) -> pa.Array:
         out = []
-        for words, found in findings(text.to_pylist(), terms):
+        for words, found in (x for part in sliced(text) for x in findings(part, terms)):
             share = shares(words, found)
             clean = 1 - max((w * exact[k][share] for k, e, w in found if not e), default=0.0)
             out.append(1 - clean * math.prod(1 - w * fuzzy[k] for k, w in {(k, w) for k, e, w in found if e}))
