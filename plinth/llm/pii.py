@@ -1,7 +1,7 @@
 """Personal data: base patterns as seeds, and contextual patterns that Spark bootstraps from them.
 
-Seeds are the base matches. The one and two words before a seed are lexical patterns; identifier-like tokens after the same
-words are instances. On the graph of patterns and instances, pattern confidence and instance score are computed in turns;
+Seeds are the base matches. The one and two words before a seed are lexical patterns; what looks like an identifier of any
+kind after the same words (mail forms, colon-hex, runs of digit groups, tokens with a digit) is an instance. On the graph of patterns and instances, pattern confidence and instance score are computed in turns;
 confident patterns then mark identifiers that no base pattern knows. Texts are read by narrow passes only; what is
 shuffled is the graph.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,8 +27,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A token with a digit, and the signs around it that don't belong to an identifier.
 TOKEN, SIGNS = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+"), ".,;:!?\"'()[]{}<>|*$#&%="
-#: An instance has so many digits, and so many characters at most; its context is looked for in so many characters before it.
-DIGITS, LONGEST, BEFORE = 6, 64, 80
+#: A numeric token with the brackets of its own, and what may stand between two of them in a run of digit groups.
+GROUP, JOINS = re.compile(r"\+?\(?\+?[0-9]++(?:[().+/-]{1,3}+[0-9]++)*+\)?"), frozenset((" ", "\xa0", "\u202f", "\u2009", " - ", " – ", " / "))
+#: Mail forms: the sign or word between name and host, what stands around it, hosts, and a dot word that ends a part of a name.
+AT = re.compile(r"@|(?<=[\s(\[{<])[aA][tT](?=[\s)\]}>])")
+DOT = r"(?:\.|\s[dD][oO][tT]\s|\s?[(\[{<]\s?(?:[dD][oO][tT]|\.)\s?[)\]}>]\s?)"
+HOST = re.compile(rf"[\w-]++(?:{DOT}[\w-]++)*+")
+DOT_BEFORE = re.compile(rf"{DOT}\Z")
+#: Colon-hex, with a zone; and what every such form holds.
+HEX, PAIR = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,}+[0-9A-Fa-f]{0,4}(?:%\w++)?(?![\w:])"), re.compile(r":[0-9A-Fa-f]{0,4}:")
+#: A longer instance is known by its hash in the graph; an instance's context is looked for in so many characters before it.
+KEY, BEFORE = 256, 80
 #: A pattern needs so many different seeds of its kind and such a share of all its instances; an instance such a score; turns of scoring.
 SUPPORT, CONFIDENCE, SCORE, TURNS = 5, 0.8, 0.9, 3
 #: Patterns that may be sent to every executor; with more, marks are joined by document instead.
@@ -73,17 +84,95 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def mail_forms(text: str) -> list[tuple[int, int]]:
+    """Written-out or odd mail addresses: name, a sign or word for at, host. A bare word "at" needs a host with a dot."""
+    out, last = [], 0
+    for m in AT.finditer(text):
+        if m.start() < last:
+            continue
+        stop, to = m.span()
+        spaced = stop > last and text[stop - 1].isspace()
+        opened = stop - spaced - 1 >= last and text[stop - spaced - 1] in "([{<"
+        if opened:
+            stop -= spaced + 1
+            spaced = stop > last and text[stop - 1].isspace()
+            to += text[to : to + 1].isspace()
+            if text[to : to + 1] not in tuple(")]}>"):
+                continue
+            to += 1
+            to += text[to : to + 1].isspace()
+        elif m[0] == "@":
+            spaced = False
+        else:
+            to += 1
+        if not (host := HOST.match(text, to)) or (not opened and m[0] != "@" and not re.search(r"(?i)\.|dot", host[0])):
+            continue
+        stop -= spaced
+        start = at = stop
+        while True:
+            while at > last and (text[at - 1].isalnum() or text[at - 1] in "._%+-"):
+                at -= 1
+            if at == stop:
+                break
+            start = at
+            if not (dot := DOT_BEFORE.search(text, max(last, at - 9), at)):
+                break
+            stop = at = dot.start()
+        if start < m.start() and text[start : start + 1] not in ("", *"([{<@"):
+            out.append((start, last := host.end()))
+    return out
+
+
 def others(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens that no base match touches."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
+    """Instances that no base match touches, by start: mail forms, colon-hex, runs of digit groups, other tokens with a digit."""
+    taken = sorted((s, e) for _, s, e in base)
+    out: list[tuple[int, int]] = []
+
+    def taking(more):
+        nonlocal taken, starts, ends
+        taken = sorted([*taken, *more])
+        starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def touched(s: int, e: int) -> bool:
+        return (k := bisect_left(starts, e)) > 0 and ends[k - 1] > s
+
+    starts = ends = []
+    taking([])
+    forms = [x for x in mail_forms(text) if not touched(*x)]
+    taking(forms)
+    if PAIR.search(text):
+        hexes = [m.span() for m in HEX.finditer(text) if any(c not in ":%" for c in m[0]) and not touched(*m.span())]
+        taking(hexes)
+        forms += hexes
+    run = -1  # the end of the run of digit groups that the last token is part of
     for m in TOKEN.finditer(text):
         raw = m[0]
         token = raw.strip(SIGNS)
-        if len(token) <= LONGEST and sum("0" <= c <= "9" for c in token) >= DIGITS:
-            s = m.start() + raw.index(token)
-            if not any(a < s + len(token) and s < e for a, e in taken):
-                out.append((s, s + len(token)))
-    return out
+        s = m.start() + raw.index(token)
+        e = s + len(token)
+        if touched(s, e):
+            run = -1
+            continue
+        at = s - (s > m.start() and text[s - 1] == "(")
+        group = GROUP.match(text, at) if token[0] in "+0123456789" else None
+        if not group or group.end() < e:
+            out.append((s, e))
+            run = -1
+            continue
+        if group[0].count("(") == group[0].count(")"):  # brackets of its own, as in (555) 010-1234
+            s, e = group.span()
+        if run >= 0 and text[run:s] in JOINS and token[0] != "+":
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+        run = e
+    # Brackets around all of an instance are no part of it.
+    return sorted([*forms, *((s + 1, e - 1) if text[s] == "(" and text.find(")", s, e) == e - 1 else (s, e) for s, e in out)])
+
+
+def key(instance: str) -> str:
+    """What an instance is known by in the graph."""
+    return instance if len(instance) <= KEY else hashlib.sha256(instance.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def contexts(text: str, start: int) -> list[str]:
@@ -103,7 +192,7 @@ def graph(docs: DataFrame) -> DataFrame:
                     continue
                 base = base_spans(t)
                 for kind, s, e in [*base, *((None, *x) for x in others(t, base))]:
-                    rows.update((p, t[s:e][: 4 * LONGEST], kind) for p in contexts(t, s))
+                    rows.update((p, key(t[s:e]), kind) for p in contexts(t, s))
             rows = sorted(rows, key=str)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["pattern", "instance", "kind"])
 

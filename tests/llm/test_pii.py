@@ -47,6 +47,33 @@ def test_patterns_discover_identifiers(spark):
     assert text[100] == "nobody: Reach me under <PHONE> thanks" and text[101] == unseen[1][1]
 
 
+@pytest.mark.parametrize(
+    "form",
+    ["0049 172 833 45", "(555) 010-1234", "0172 (833) 55", "4111 1111 1111 1112", "jane.doe(at)mail.example.com", "jane dot doe at mail dot example dot com", "jane [at] example [dot] com", "fe80::1ff:fe23", "dead::beef", "12-34", "4" * 70],
+)
+def test_instances_of_every_kind(form):
+    for text in (f"write {form} now", f"write ({form}), now", f"write {form}"):
+        assert [text[s:e] for s, e in pii.others(text, pii.base_spans(text))] == [form], text
+
+
+def test_runs_end_at_base_matches_and_signs():
+    text = "look at this: 12 34, 56 78 or 9 1.2.3.4 10 and +1 2 (3) std::x ::"
+    assert [text[s:e] for s, e in pii.others(text, pii.base_spans(text))] == ["12 34", "56 78", "9", "10", "+1 2 (3)"]
+
+
+def test_forms_take_linear_time():
+    for t in ("a at " * 100_000, "a dot " * 100_000, "1 " * 200_000, "a:" * 200_000, "(at)" * 100_000, "1.2.3.4 " * 50_000, "1(" * 100_000):
+        pii.marked(t, {"x": ("ip", 0.9)})
+
+
+def test_spaced_and_masked_forms_are_discovered(spark):
+    mails = [(50 + i, f"say {i}: Write me by mail to user{i}@mail.example.com thanks", "en", "a", 0) for i in range(20)]
+    unseen = [(100, "Reach me under (555) 010-1234 thanks", "en", "a", 0), (101, "Write me by mail to jane.doe(at)mail.example.com thanks", "en", "a", 0)]
+    df = spark.createDataFrame(calls(20) + mails + unseen, SCHEMA)
+    text = {r.doc_id: r.text for r in pii.mask(df, pii.bootstrap(df)).collect()}
+    assert text[100] == "Reach me under <PHONE> thanks" and text[101] == "Write me by mail to <EMAIL> thanks"
+
+
 def test_copies_are_no_support(spark):
     df = spark.createDataFrame([(i, "Reach me under +1 (555) 010-1000 or 123-456-789", "en", "a", 0) for i in range(50)], SCHEMA)
     assert pii.bootstrap(df).isEmpty()
