@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.llm.common import chunks, pieces, settle, sliced
 
-#: Words shorter than this are matched exactly only; a term's length in characters, from and to.
+#: Words and stems shorter than this are matched exactly only; a term's length in characters, from and to.
 FUZZY_FROM, SHORTEST, LONGEST = 5, 3, 10
 #: A term needs so many toxic documents in the sample that aren't copies of each other, and such a share of toxic ones.
 SUPPORT, PRECISION = 5, 0.6
@@ -47,20 +47,28 @@ class Lexicon:
 
 
 class Automaton:
-    """Deterministic table for: a word that is a term, starts with a stem, or is one edit (or two letters that changed places) from a whole-word term."""
+    """Deterministic table for: a word that is a term, starts with a stem, or is one edit (or two letters that changed places) from a whole-word term.
 
-    def __init__(self, terms: tuple[str, ...]):
+    With edited_stems, also a word that starts with an edited form of a stem: some prefix of it is one edit from the stem.
+    """
+
+    def __init__(self, terms: tuple[str, ...], edited_stems: bool = False):
         trie: list[dict[str, int]] = [{}]
+        least = [len(terms)]  # the first term at or below a node
         whole: dict[int, int] = {}
         stem: dict[int, int] = {}
+        edited: dict[int, int] = {}  # stems that edits are allowed for
         fuzzy: set[int] = {0}  # nodes on the way to a term that edits are allowed for
         for k, t in enumerate(terms):
             at, path = 0, [0]
+            least[0] = min(least[0], k)
             for c in t.removesuffix("$"):
                 if c not in trie[at]:
                     trie[at][c] = len(trie)
                     trie.append({})
+                    least.append(k)
                 at = trie[at][c]
+                least[at] = min(least[at], k)
                 path.append(at)
             if t.endswith("$"):
                 whole[at] = k
@@ -68,6 +76,9 @@ class Automaton:
                     fuzzy.update(path)
             else:
                 stem[at] = k
+                if edited_stems and len(t) >= FUZZY_FROM:
+                    fuzzy.update(path)
+                    edited[at] = k
         long_enough = lambda node: len(terms[whole[node]]) - 1 >= FUZZY_FROM
         letters = sorted({c for n in trie for c in n})
         self.letters = {c: i + 2 for i, c in enumerate(letters)}  # class 0 parts words, 1 is any other letter
@@ -75,6 +86,9 @@ class Automaton:
         def step(state: frozenset, c: str | None) -> frozenset | tuple:
             out = set()
             for node, e in state:
+                if e == 3:  # the word starts with an edited form of this stem
+                    out.add((node, e))
+                    continue
                 if e == 2:  # two letters changed places: the other one has to follow
                     node, other = node
                     out |= {(node, 1)} if c == other else set()
@@ -91,6 +105,12 @@ class Automaton:
                             if (skipped := trie[child].get(c)) is not None and skipped in fuzzy:
                                 out.add((skipped, 1))  # a letter is missing
                                 out.add(((skipped, letter), 2))
+            begun = [n for n, e in out if e == 3]
+            begun += [edited[n] for n, e in out if e == 1 and n in edited]
+            begun += [edited[x] for n, e in out if e == 0 for x in trie[n].values() if x in edited]  # its last letter is missing
+            first = min(begun, default=len(terms))
+            if begun:  # of one edit each, the first term counts
+                out = {(n, e) for n, e in out if e == 0 or (e < 3 and least[n[0] if e == 2 else n] < first)} | {(first, 3)}
             return frozenset((n, e) for n, e in out if not (e == 1 and (n, 0) in out))
 
         def ends(state) -> tuple[int, int]:
@@ -99,6 +119,8 @@ class Automaton:
                 return state[1], 0
             found = []
             for node, e in state:
+                if e == 3:
+                    found.append((1, node))
                 if e < 2 and node in whole and (e == 0 or long_enough(node)):
                     found.append((e, whole[node]))
                 if e == 0 and node in fuzzy:
@@ -178,7 +200,7 @@ def context(text: str, start: int, end: int) -> float:
 
 @lru_cache(maxsize=4)
 def _automaton(terms: tuple[str, ...]) -> Automaton:
-    return Automaton(terms)
+    return Automaton(terms, edited_stems=True)
 
 
 def findings(texts: list[str | None], terms: tuple[str, ...]) -> list[tuple[int, list[tuple[int, int, float]]]]:

@@ -52,6 +52,43 @@ def test_automaton_against_edit_distance():
             assert got[s] == min(options)[::-1], w
 
 
+def test_stems_against_prefix_edit_distance():
+    terms = ("idiot$", "achlich", "reeux", "bom", "achlor", "reeus$", "achtlos$")
+    own = tox.Automaton(terms, edited_stems=True)
+    rng = random.Random(5)
+    words = ["achl1chkeit", "ahclichkeit", "achlic", "achlch", "bamente", "reeus"]
+    for _ in range(6000):
+        w = list(rng.choice(["achlichkeit", "achlorig", "reeuxion", "reeux", "bomente", "achtlos", "idiot", "other", "achl"]))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(min(len(w), 7) + 1)
+            if rng.random() < 0.3:
+                w[k : k + 2] = w[k : k + 2][::-1]
+            else:
+                w[k : k + rng.randrange(2)] = [rng.choice("achliorexusbmt1é")] * rng.randrange(2)
+        if w:
+            words.append("".join(w))
+    _, found = own.matches([" ".join(words)])
+    got, at, hits = {s: (e, k) for _, s, _, k, e in found}, 0, 0
+    for w in words:
+        options = []
+        for k, t in enumerate(terms):
+            d = distance(w, t[:-1]) if t.endswith("$") else min(distance(w[:n], t) for n in range(len(w) + 1))
+            if d <= (len(t.removesuffix("$")) >= tox.FUZZY_FROM):
+                options.append((d, k))
+        # An exact stem is taken as soon as it is read; no term lies below another.
+        assert got.get(at) == min(options, default=None), w
+        hits += bool(options) and min(options)[0] == 1 and not terms[min(options)[1]].endswith("$")
+        at += len(w) + 1
+    assert hits > 500
+
+
+def test_edited_stems_score(spark):
+    lexicon = tox.Lexicon(["achlich", "bom"], [[0.9] * 4] * 2, [0.8] * 2)
+    texts = ["so eine achl1chkeit", "so eine ahclichkeit", "so eine bamente", "so eine achtung"]
+    df = spark.createDataFrame([(i, t, "de", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.predicted for r in tox.toxicity(df, lexicon).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
 def test_several_texts_keep_their_places():
     own = tox.Automaton(TERMS)
     words, found = own.matches(["", "you idiot", "fine", "idiiot, scum!"])
