@@ -38,8 +38,10 @@ DOT_BEFORE = re.compile(rf"{DOT}\Z")
 HEX, PAIR = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,}+[0-9A-Fa-f]{0,4}(?:%\w++)?(?![\w:])"), re.compile(r":[0-9A-Fa-f]{0,4}:")
 #: A longer instance is known by its hash in the graph; an instance's context is looked for in so many characters before it.
 KEY, BEFORE = 256, 80
-#: A pattern needs so many different seeds of its kind and such a share of all its instances; an instance such a score; turns of scoring.
-SUPPORT, CONFIDENCE, SCORE, TURNS = 5, 0.8, 0.9, 3
+#: A pattern needs so many different seeds of its kind and such a share of all its instances; an instance such a score.
+SUPPORT, CONFIDENCE, SCORE = 5, 0.8, 0.9
+#: Turns end when no pattern is new and no confidence moves by more than this; more turns than the guard are an error.
+MOVED, GUARD = 1e-4, 1000
 #: Patterns that may be sent to every executor; with more, marks are joined by document instead.
 SENT = 100_000
 
@@ -203,24 +205,35 @@ def bootstrap(docs: DataFrame) -> DataFrame:
     """Confident patterns (pattern, kind, confidence), one kind each.
 
     Confidence is the summed score of a pattern's instances of its kind, over all its instances; copies of a text add no
-    instance. An instance's score is that of all its confident patterns together. Turns end when no instance is new.
+    instance. An instance's score is that of all its confident patterns together, and its kind the one it was found as first.
+    Confidence and score so never fall from turn to turn, and turns go on until no pattern and no instance is new and
+    confidence stands still.
     """
     edges = settle(graph(docs))
-    found = None
-    for turn in range(TURNS):
+    found = before = None
+    for _ in range(GUARD):
         scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
         if found is not None:
             scored = edges.join(found, "instance", "left").select("pattern", "instance", F.coalesce("kind", "as_kind").alias("kind"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("found_score", F.lit(0.0))).alias("score"))
         by_kind = [F.struct((F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)) / F.count(F.lit(1))).alias("confidence"), F.count_if(F.col("kind") == k).alias("seeds"), F.lit(k).alias("kind")) for k in KINDS]
         patterns = scored.groupBy("pattern").agg(F.greatest(*by_kind).alias("best")).select("pattern", "best.*").where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         patterns = settle(patterns.select("pattern", "kind", "confidence"))
-        if turn == TURNS - 1 or patterns.isEmpty():
-            break
+        if before is None:
+            changed = not patterns.isEmpty()
+        else:
+            was = before.select("pattern", F.col("confidence").alias("was"))
+            changed = not patterns.join(was, "pattern", "left").where(F.col("was").isNull() | (F.abs(F.col("confidence") - F.col("was")) > MOVED)).isEmpty()
+        if not changed:
+            return patterns
         by_instance = edges.where("kind is null").select("pattern", "instance").join(patterns, "pattern").groupBy("instance", "kind").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))).alias("doubt"))
+        if found is not None:
+            first = found.select("instance", F.col("as_kind").alias("first"))
+            by_instance = by_instance.join(first, "instance", "left").where("first is null or first = kind")
         found = settle(by_instance.select("instance", F.struct((1 - F.exp("doubt")).alias("found_score"), F.col("kind").alias("as_kind")).alias("s")).groupBy("instance").agg(F.max("s").alias("s")).select("instance", "s.*").where(F.col("found_score") >= SCORE))
         if found.isEmpty():
-            break
-    return patterns
+            return patterns
+        before = patterns
+    raise RuntimeError(f"the patterns of personal data still change after {GUARD} turns")
 
 
 def marked(text: str | None, patterns: dict[str, tuple[str, float]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

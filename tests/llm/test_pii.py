@@ -74,6 +74,28 @@ def test_spaced_and_masked_forms_are_discovered(spark):
     assert text[100] == "Reach me under <PHONE> thanks" and text[101] == "Write me by mail to <EMAIL> thanks"
 
 
+def chain(spark):
+    """Contexts that become confident one after the other, each by what the one before it discovers."""
+    names, rows = ["alpha", "beta", "gamma", "delta", "eta", "theta"], []
+    for k, name in enumerate(names):
+        rows += [f"ring via {name} +1 (555) 01{k}-{1000 + i}" for i in range(20)]
+        rows += [f"ring via {name} 0049-{s}-77{j}" for s in (k - 1, k) if s >= 0 for j in range(4)]
+    return spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(rows)], SCHEMA)
+
+
+def test_turns_go_on_until_nothing_is_new(spark):
+    df = chain(spark)
+    patterns = pii.bootstrap(df)
+    assert {r.pattern for r in patterns.collect()} == {x for n in ("alpha", "beta", "gamma", "delta", "eta", "theta") for x in (n, f"via {n}")}
+    assert all(r.text.endswith(" <PHONE>") for r in pii.mask(df, patterns).collect())
+
+
+def test_turns_beyond_the_guard_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "GUARD", 2)
+    with pytest.raises(RuntimeError, match="2 turns"):
+        pii.bootstrap(chain(spark))
+
+
 def test_copies_are_no_support(spark):
     df = spark.createDataFrame([(i, "Reach me under +1 (555) 010-1000 or 123-456-789", "en", "a", 0) for i in range(50)], SCHEMA)
     assert pii.bootstrap(df).isEmpty()
