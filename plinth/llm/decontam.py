@@ -71,8 +71,9 @@ class Items:
             begin.append(at)
         return np.concatenate(out), np.array(begin)
 
-    def candidates(self, words: np.ndarray, begin: np.ndarray):
-        """(text, item, from, to) of the places to align: word ranges around seeds that lie near one diagonal."""
+    def candidates(self, words: np.ndarray, begin: np.ndarray, threshold: float = THRESHOLD, wide: bool = False):
+        """(text, item, from, to) of the places to align: word ranges around seeds that lie near one diagonal; with wide, around
+        seeds whose diagonals lie no further apart than an alignment at the threshold can pay for in gaps, and so many words more."""
         n = len(self.number) + 1
         if len(words) < SEED or not len(self.code):
             return np.zeros((0, 4), np.int64)
@@ -96,14 +97,15 @@ class Items:
         order = np.lexsort((at, diagonal, item, text))
         text, item, diagonal, at = text[order], item[order], diagonal[order], at[order]
         length = np.array([len(w) for w in self.words])
-        new = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > AROUND)))
+        around = np.maximum(AROUND, np.ceil(EQUAL * length * (1 - threshold) / -GAP).astype(np.int64)) if wide else np.full(len(length), AROUND)
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > around[item[1:]])))
         group = np.cumsum(new) - 1
         first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new)) - 1
         places = np.unique(np.stack((group, at), 1), axis=0)
         enough = np.bincount(places[:, 0], minlength=len(first)) >= self.least[item[first]]
         first, last = first[enough], last[enough]
-        low = np.maximum(diagonal[first] - AROUND, begin[text[first]])
-        high = np.minimum(diagonal[last] + length[item[first]] + AROUND, begin[text[first] + 1])
+        low = np.maximum(diagonal[first] - around[item[first]], begin[text[first]])
+        high = np.minimum(diagonal[last] + length[item[first]] + around[item[first]], begin[text[first] + 1])
         return np.stack((text[first], item[first], low, high), 1)
 
 
@@ -133,21 +135,28 @@ def leaks(texts: list[str | None], items: Items, threshold: float) -> list[list[
     out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
     for a, b in chunks(texts, CHUNK):
         words, begin = items.numbers(texts[a:b])
-        found = items.candidates(words, begin)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        order = np.argsort(found[:, 3] - found[:, 2], kind="stable")
-        at = 0
-        while at < len(order):
-            part, cells = [], 0
-            while at < len(order) and (not part or cells < CELLS):
-                part.append(found[order[at]])
-                cells = len(part) * (part[-1][3] - part[-1][2] + 1)
-                at += 1
-            for (text, item, low, high), score in zip(part, align([(items.words[c[1]], words[c[2] : c[3]]) for c in part]).tolist(), strict=True):
-                share = score / (EQUAL * len(items.words[item]))
-                key = (int(text), int(item))
-                if share >= threshold and (key not in best or (share, -low) > (best[key][0], -best[key][1])):
-                    best[key] = (share, int(low), int(high))
+        for wide in (False, True):
+            found = items.candidates(words, begin, threshold, wide)
+            # A wide place counts where it scores more than each narrow one in it, which tells better where the item is.
+            narrow = dict(best) if wide else {}
+            if wide:
+                found = found[[narrow.get((int(c[0]), int(c[1])), (0.0,))[0] < 1 for c in found]] if len(found) else found
+            order = np.argsort(found[:, 3] - found[:, 2], kind="stable")
+            at = 0
+            while at < len(order):
+                part, cells = [], 0
+                while at < len(order) and (not part or cells < CELLS):
+                    part.append(found[order[at]])
+                    cells = len(part) * (part[-1][3] - part[-1][2] + 1)
+                    at += 1
+                for (text, item, low, high), score in zip(part, align([(items.words[c[1]], words[c[2] : c[3]]) for c in part]).tolist(), strict=True):
+                    share = score / (EQUAL * len(items.words[item]))
+                    key = (int(text), int(item))
+                    if share < threshold or (key in narrow and share <= narrow[key][0]):
+                        continue
+                    if key not in best or (share, -low) > (best[key][0], -best[key][1]):
+                        best[key] = (share, int(low), int(high))
         for (text, item), (share, low, high) in sorted(best.items()):
             out[a + text].append((item, share, low - int(begin[text]), high - int(begin[text])))
     return out

@@ -89,3 +89,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contamination(odd(spark), none).count() == 0 and ids(d.decontaminate(odd(spark), none)) == ALL_IDS
     assert d.contamination(empty(spark), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_score_is_that_of_the_whole_text():
+    rng = random.Random(8)
+    item = [f"i{k}" for k in range(45)]
+    texts = []
+    for gap in (0, 5, 10, 20, 25, 40):
+        other = lambda n: [f"o{rng.randrange(500)}" for _ in range(n)]
+        texts.append(other(60) + item[:15] + other(gap) + item[15:30] + other(gap) + item[30:] + other(60))
+    texts.append(item[:20] + ["o1"] * 30 + item + ["o2"] * 30 + item)
+    own = d.Items([(1, " ".join(item))])
+    own.seed(np.ones(len(own.number)), 10**6)
+    found = d.leaks([" ".join(t) for t in texts], own, 0.4)
+    for t, got in zip(texts, found, strict=True):
+        share = smith_waterman(item, t) / (d.EQUAL * len(item))
+        assert [round(s, 9) for _, s, *_ in got] == ([round(share, 9)] if share >= 0.4 else [])
+    assert len(found[4]) == 1 and not found[5]
+    assert found[-1] == [(0, 1.0, 42, 103)]  # of places alike the first, as narrow as seeds tell
