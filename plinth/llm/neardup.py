@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     Documents are linked if the Jaccard similarity of their sets of width-word shingles is at least threshold (compared in
     hundredths, exactly); component_id is the smallest doc_id that links reach, and kept is doc_id = component_id. Null and
     empty texts, and those of white space, have no shingles and link with nothing. Rows that share a doc_id are one document,
-    linked by any of its texts. A row with a null doc_id has a null component, links with nothing and is kept. An empty
+    linked by any of its texts, and all have its component. A row with a null doc_id has a null component, links with nothing and is kept. An empty
     table gives an empty result.
     """
     need = least_shared(k, threshold)
@@ -173,6 +173,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     sets = lambda side: full.select(F.col("doc_id").alias(side), F.col("full").alias(f"full_{side}"))
     shared = F.size(F.array_intersect("full_a", "full_b"))
     exact = pairs.join(sets("a"), "a").join(sets("b"), "b").where(_alike(shared, F.size("full_a"), F.size("full_b"), threshold)).select("a", "b")
+    # An id on rows of different texts is one document and links the classes of its texts.
+    sign = F.struct("n", "s1", "s2")
+    reused = settle(every.where("doc_id is not null").groupBy("doc_id").agg(F.min(sign).alias("low"), F.max(sign).alias("high")).where("low <> high").select("doc_id"))
+    if some_reused := not reused.isEmpty():
+        own = linkable.join(reused, "doc_id").select(F.col("doc_id").alias("a"), "n", "s1", "s2").distinct()
+        exact = exact.union(own.join(classes.select("n", "s1", "s2", F.col("doc_id").alias("b")), ["n", "s1", "s2"]).where("a <> b").select("a", "b"))
     found = components(exact)
 
     # Then the lists that still hold several components. Lists of one group of copies have nearly the same members, and mostly the
@@ -191,7 +197,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
 
     by_class = classes.join(final, classes["doc_id"] == final["node"], "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("of_class"))
     out = every.select("doc_id", "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left")
-    return _answer(out)
+    if some_reused:  # rows without shingles go with the other texts of their id
+        of_id = reused.join(final, reused["doc_id"] == final["node"]).select("doc_id", F.col("component").alias("of_id"))
+        return _answer(out.join(of_id, "doc_id", "left"))
+    return _answer(out.withColumn("of_id", F.lit(None).cast("long")))
 
 
 def _relabelled(found: DataFrame, merged: DataFrame) -> DataFrame:
@@ -203,7 +212,7 @@ def _relabelled(found: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def _answer(rows: DataFrame) -> DataFrame:
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n") > 0, F.coalesce("of_class", "doc_id")).otherwise(F.col("doc_id")))
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n") > 0, F.coalesce("of_class", "doc_id")).otherwise(F.coalesce("of_id", "doc_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

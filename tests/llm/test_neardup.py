@@ -110,3 +110,11 @@ def test_repeated_rows_are_held_once(spark):
 def test_empty_table(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     assert neardup.deduplicate(odd(spark).where(F.col("doc_id") < 3)).count() == 2
+
+
+def test_rows_of_one_id_get_one_component(spark):
+    a, b, c = ("one two three four five six seven", "quite other words stand in this one here", "a third text of seven plain words")
+    rows = [(5, a), (9, a), (3, b), (5, b), (7, c), (8, c), (8, ""), (6, None), (6, "nothing is like this text at all")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=4).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 7, True), (8, 7, False), (6, 6, True)}
