@@ -30,10 +30,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         store.build(spark, given.data, given.store)
     began = time.perf_counter()
     row = price_query(params.month_code, params.town_code, params.area, empty="sentinel").run(store.read(spark, given.store)).first().asDict()
-    print(f"Query execution time (without building the store): {time.perf_counter() - began:.3f} s")
+    print(f"answered in {time.perf_counter() - began:.3f} s")
     path = f"{given.results}/ScanResult_{given.code}.csv"
     results.write(row, params.year, params.month, params.town, path)
     for name, category in results.CATEGORIES.items():
-        print(f"- {category}: {row[name]:.2f}")
-    print(f"Results saved to: {path}")
+        print(f"{category} = {row[name]:.2f}")
+    print(f"written: {path}")
     return 0

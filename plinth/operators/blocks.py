@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plinth.functions.predicates import Exact, Range
 from plinth.operators.positions import running_sum
 
-#: Rows of a block.
-BLOCK = 250
+#: Rows of a block, and codes that a bitmap of one whole number tells apart.
+BLOCK, CODES = 250, 63
 
 
 def with_blocks(df: DataFrame, position: str = "position", size: int = BLOCK) -> DataFrame:
@@ -22,8 +22,10 @@ def zone_map(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def bitmap(df: DataFrame, code: str) -> DataFrame:
-    """One row per block: block_id and bits, with bit c set if code c (0 to 62) occurs."""
-    return df.groupBy("block_id").agg(F.coalesce(F.bit_or(F.expr(f"shiftleft(1L, cast({code} as int))")), F.lit(0).cast("long")).alias("bits"))
+    """One row per block: block_id and bits, with bit c set if code c occurs (I3, I4). Codes from 0 to CODES - 1; others are an error, nulls set no bit."""
+    c = F.col(code).cast("int")
+    bit = F.when(c.between(0, CODES - 1), F.call_function("shiftleft", F.lit(1).cast("long"), c)).when(c.isNotNull(), F.raise_error(F.concat(F.lit("no bit for code "), c.cast("string"))).cast("long"))
+    return df.groupBy("block_id").agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("bits"))
 
 
 def check_zone(low: Column, high: Column, r: Range) -> tuple[Column, Column]:
@@ -35,6 +37,8 @@ def check_zone(low: Column, high: Column, r: Range) -> tuple[Column, Column]:
 
 def check_bits(bits: Column, e: Exact) -> tuple[Column, Column]:
     """(skippable, qualified) of a block: an absent code fails, the only code passes, both without a read."""
+    if not 0 <= int(e.value) < CODES:
+        raise ValueError(f"no bit for code {e.value}")
     bit = F.lit(1 << int(e.value)).cast("long")
     there = bits.bitwiseAND(bit) != 0
     return ~there | (bits == bit), there

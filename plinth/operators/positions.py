@@ -1,29 +1,41 @@
 """Row positions and running sums that no single task has to compute.
 
-A global row number over one window would send all rows to one task. Here rows are counted by a coarse prefix of the order, the
-counts are summed over one row per coarse key, and rows are numbered inside their coarse key only.
+A global row number over one window would send all rows to one task, and one window per coarse key all rows of a hot key. Here rows
+are dealt by range over all columns of the order and sorted inside their range; the ranges are counted, and a row's place is
+its place in its range plus the rows of all ranges before. A hot date spreads over as many ranges as its rows ask for.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plinth.sources.scratch import settle
+
 #: Keys of one group of the two-level running sum.
 GROUP = 4096
+#: Bits of monotonically_increasing_id that count rows of one partition; those above tell the partition.
+ROW_BITS = 33
 
 
-def with_positions(df: DataFrame, coarse: str, fine: list[str], name: str = "position") -> DataFrame:
-    """df with the place of each row (from 0) in the order by coarse, then fine.
+def with_positions(df: DataFrame, order: list[str], name: str = "position", ranges: int | None = None) -> DataFrame:
+    """df with the place of each row (from 0) in the order by these columns, nulls first.
 
-    coarse should have many values, such as a date: the rows of one value are numbered by one task. Together the columns
-    should be unique, else the order of equal rows is open.
+    Together the columns should be unique: the order of equal rows is open, and equal rows share a range. The sorted rows are
+    written once, which fixes their ranges; what reaches the driver is one count per range (spark.sql.shuffle.partitions
+    of them, unless `ranges` says otherwise).
     """
-    counts = df.groupBy(coarse).agg(F.count(F.lit(1)).alias("_n"))
-    above = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col(coarse).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    above = above.select(F.col(coarse).alias("_key"), "_before")
-    inside = F.row_number().over(Window.partitionBy(coarse).orderBy(*fine)) - 1
-    out = df.withColumn("_inside", inside).join(above, F.col(coarse).eqNullSafe(F.col("_key")))
-    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_before", "_inside")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    sorted_rows = settle(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", ROW_BITS)
+    counts = {r.part: r.n for r in sorted_rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0, *accumulate(counts.get(i, 0) for i in range(max(counts, default=0)))]
+    starts = F.from_json(F.lit(json.dumps(before)), "array<bigint>")  # a constant, folded once
+    place = F.element_at(starts, (part + 1).cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return sorted_rows.withColumn(name, place).drop("_at")
 
 
 def running_sum(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:

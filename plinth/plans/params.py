@@ -39,10 +39,13 @@ def parse(code: str) -> Params:
 
 
 def parse_columns(code: Column) -> list[Column]:
-    """The same for a column of codes: year, month, month_code, town_code; null for what is no code."""
-    digits = F.regexp_extract(code, r"([0-9])([0-9]).$", 0)
-    ok = (F.length(code) >= SHORTEST) & (digits != "")
-    m, y = F.substring(digits, 1, 1).try_cast("int"), F.substring(digits, 2, 1).try_cast("int")
-    year, month = F.when(y >= 4, y + 2010).otherwise(y + 2020), F.when(m == 0, 10).otherwise(m)
+    """The same for a column of codes: year, month, month_code, town_code; null for what is no code.
+
+    Two characters are cut out, without a pattern; give a column by name, as an expression would be computed again for each output.
+    """
+    m_digit, y_digit = F.substring(code, -3, 1), F.substring(code, -2, 1)
+    ok = (F.length(code) >= SHORTEST) & m_digit.between("0", "9") & y_digit.between("0", "9")
+    m, y = F.ascii(m_digit) - ord("0"), F.ascii(y_digit) - ord("0")
+    year, month = y + F.when(y >= 4, 2010).otherwise(2020), F.when(m == 0, 10).otherwise(m)
     month_code = (year - FIRST_MONTH[0]) * 12 + month - FIRST_MONTH[1]
     return [F.when(ok, c).cast("int").alias(n) for n, c in (("year", year), ("month", month), ("month_code", month_code), ("town_code", m))]

@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plinth.functions.aggregates import Metric
 from plinth.functions.arithmetic import compute
-from plinth.functions.dictionaries import decode, decode_month, encode, encode_month, month_ordinal
+from plinth.functions.dictionaries import FLAT_MODELS, FLAT_TYPES, STOREYS, TOWNS, decode, decode_lease, decode_month, encode, encode_lease, encode_month, month_ordinal
 from plinth.functions.formatting import line_bytes, short_float
 from plinth.functions.predicates import Exact, Months, Range
 from plinth.operators import blocks, rle
 from plinth.operators.positions import with_positions
 from plinth.plans.params import parse_columns
 from plinth.plans.query import Query
-from plinth.sources import store
-from plinth.sources.records import reject_reason
+from plinth.schema import FIELDS
+from plinth.sources import records, store
 from plinth.sources.results import long_form
+from plinth.sources.scratch import folder
 
 EPOCH = (1995, 1)
 MONTHS = Months("l_shipdate", 30, 31, EPOCH)
@@ -136,17 +137,40 @@ def _operation(name: str, sign: str) -> None:
 for _name, _sign in (("add", "+"), ("subtract", "-"), ("multiply", "*"), ("divide", "/")):
     _operation(_name, _sign)
 
-_BRANDS_SQL = "[" + ", ".join(f"'{b}'" for b in BRANDS) + "]"
 
 
-@query(f"SELECT p_partkey, (list_position({_BRANDS_SQL}, p_brand) - 1)::INTEGER AS brand_code FROM part")
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"SELECT p_partkey, (list_position({_list(BRANDS)}, p_brand) - 1)::INTEGER AS brand_code FROM part")
 def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", encode(F.col("p_brand"), BRANDS).alias("brand_code"))
 
 
-@query("SELECT p_partkey, p_brand AS brand FROM part")
+@query(f"SELECT p_partkey, {_list(BRANDS)}[p_partkey % 30 + 1] AS brand FROM part")
 def dictionary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", decode(encode(F.col("p_brand"), BRANDS), BRANDS).alias("brand"))
+    """Codes 25 to 29 are none of the dictionary."""
+    return _table(spark, sf_dir, "part").select("p_partkey", decode(F.col("p_partkey") % 30, BRANDS).alias("brand"))
+
+
+def _dictionary(name: str, values: tuple[str, ...], to_value: Callable[[Column], Column], to_code: Callable[[Column], Column]) -> None:
+    """A query that decodes every code of a dictionary and two beyond it, and encodes the values again."""
+    of = len(values) + 2
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = _table(spark, sf_dir, "customer").select("c_custkey", to_value((F.col("c_custkey") % of).cast("int")).alias("value"))
+        return value.select("c_custkey", "value", to_code(F.col("value")).cast("int").alias("code"))
+
+    run.__name__ = f"dictionary_{name}"
+    query(f"SELECT c_custkey, {_list(values)}[c_custkey % {of} + 1] AS value, CASE WHEN c_custkey % {of} < {len(values)} THEN c_custkey % {of} END::INTEGER AS code FROM customer")(run)
+
+
+#: Years of the lease dictionary, by their rule.
+LEASES = tuple(str(y) for y in range(1966, 2023))
+for _name, _values in (("town", TOWNS), ("flat_type", FLAT_TYPES), ("storey", STOREYS), ("flat_model", FLAT_MODELS)):
+    _dictionary(_name, _values, lambda c, v=_values: decode(c, v), lambda c, v=_values: encode(c, v))
+_dictionary("lease", LEASES, decode_lease, encode_lease)
 
 
 @query("SELECT o_orderkey, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INTEGER AS month_code, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
@@ -170,7 +194,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 IN (1, 2, 3) THEN 'floor_area_sqm'
 """)
 def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw_records(spark, sf_dir)
-    return raw.select("o_orderkey", reject_reason(raw).alias("reason"))
+    return raw.select("o_orderkey", records.reject_reason(raw).alias("reason"))
 
 
 @query("""
@@ -196,14 +220,15 @@ def empty_match_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by date and key, with position, block, month code and status code."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", month_ordinal(F.col("o_orderdate"), EPOCH).alias("month_code"), encode(F.col("o_orderstatus"), STATUSES).alias("status_code"))
-    return blocks.with_blocks(with_positions(o, "o_orderdate", ["o_orderkey"]))
+    """Orders by date and key, with position, block, month code, status code, steps of price and priority."""
+    step = F.floor(F.col("o_totalprice") / 100_000) * 0.5
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", month_ordinal(F.col("o_orderdate"), EPOCH).alias("month_code"), encode(F.col("o_orderstatus"), STATUSES).alias("status_code"), step.alias("step"), "o_orderpriority")
+    return blocks.with_blocks(with_positions(o, ["o_orderdate", "o_orderkey"]))
 
 
 POSITIONED_SQL = """positioned AS (
   SELECT o_orderkey, o_orderdate, o_totalprice, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INTEGER AS month_code,
-         (list_position(['F', 'O', 'P'], o_orderstatus) - 1)::INTEGER AS status_code, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position
+         (list_position(['F', 'O', 'P'], o_orderstatus) - 1)::INTEGER AS status_code, floor(o_totalprice / 100000) * 0.5 AS step, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position
   FROM orders
 ), blocked AS (SELECT *, position // 250 AS block_id FROM positioned)"""
 ZONES_SQL = POSITIONED_SQL + """, zones AS (
@@ -272,15 +297,21 @@ def filter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.filter_order([("month", zones, MONTH_RANGE), ("price", zones, PRICE_RANGE), ("status", blocks.bitmap(p, "status_code"), STATUS)])
 
 
-RUNS_SQL = POSITIONED_SQL + """, marked AS (
-  SELECT block_id, position, status_code, CASE WHEN lag(status_code) OVER w IS DISTINCT FROM status_code THEN 1 ELSE 0 END AS new FROM blocked WINDOW w AS (PARTITION BY block_id ORDER BY position)
+def _runs_sql(column: str, cap: str = "") -> str:
+    """Runs of a column inside blocks; cap: what cuts a run by a row's place in it."""
+    return POSITIONED_SQL + f""", marked AS (
+  SELECT block_id, position, {column}, CASE WHEN lag({column}) OVER w IS DISTINCT FROM {column} THEN 1 ELSE 0 END AS new FROM blocked WINDOW w AS (PARTITION BY block_id ORDER BY position)
 ), islands AS (
   SELECT *, sum(new) OVER (PARTITION BY block_id ORDER BY position) AS run FROM marked
 ), parts AS (
-  SELECT *, (position - min(position) OVER (PARTITION BY block_id, run)) // 128 AS part FROM islands
+  SELECT *, (position - min(position) OVER (PARTITION BY block_id, run)) {cap or "* 0"} AS part FROM islands
 ), runs AS (
-  SELECT block_id, min(position) AS start, count(*) AS run_length, min(status_code) AS value FROM parts GROUP BY block_id, run, part
-)"""
+  SELECT block_id, min(position) AS start, count(*) AS run_length, min({column}) AS value FROM parts GROUP BY block_id, run, part
+), counted AS (SELECT block_id, sum(CASE WHEN run_length = 1 THEN 1 ELSE 2 END)::BIGINT AS entries FROM runs GROUP BY block_id)"""
+
+
+RUNS_SQL = _runs_sql("status_code", "// 128")
+OFFSETS_SQL = "coalesce(sum(entries) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
 
 
 @query(f"WITH {RUNS_SQL} SELECT * FROM runs")
@@ -288,18 +319,33 @@ def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rle.encode(_positioned(spark, sf_dir), "status_code", cap=rle.CAP)
 
 
+@query(f"WITH {_runs_sql('step')} SELECT * FROM runs")
+def rle_encode_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a column of eight bytes, which only a block's end cuts."""
+    return rle.encode(_positioned(spark, sf_dir), "step")
+
+
+@query(f"WITH {_runs_sql('o_orderpriority')} SELECT * FROM runs")
+def rle_encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.encode(_positioned(spark, sf_dir), "o_orderpriority")
+
+
 @query(f"WITH {POSITIONED_SQL} SELECT block_id, position, status_code AS value FROM blocked")
 def rle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rle.decode(rle.encode(_positioned(spark, sf_dir), "status_code", cap=rle.CAP))
 
 
-@query(f"""WITH {RUNS_SQL}, counted AS (SELECT block_id, sum(CASE WHEN run_length = 1 THEN 1 ELSE 2 END)::BIGINT AS entries FROM runs GROUP BY block_id)
-SELECT block_id, entries, coalesce(sum(entries) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM counted""")
+@query(f"WITH {RUNS_SQL} SELECT block_id, entries, {OFFSETS_SQL} AS byte_offset FROM counted")
 def offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = rle.encode(_positioned(spark, sf_dir), "status_code", cap=rle.CAP)
     return blocks.offsets(rle.entries(runs), width=1)
 
 
+@query(f"WITH {_runs_sql('step')} SELECT block_id, entries, 8 * {OFFSETS_SQL} AS byte_offset FROM counted")
+def offset_map_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.offsets(rle.entries(rle.encode(_positioned(spark, sf_dir), "step")), width=8)
+
+
 @query(f"WITH {POSITIONED_SQL} SELECT position, 'month_code' AS field, month_code::DOUBLE AS value FROM positioned UNION ALL SELECT position, 'o_totalprice', o_totalprice FROM positioned")
 def column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each column by itself, aligned by position (S14). Parquet stores them so; here they are rows."""
@@ -323,7 +369,7 @@ def _code() -> Column:
 ), e AS (SELECT *, CASE WHEN y >= 4 THEN y + 2010 ELSE y + 2020 END AS year, CASE WHEN m = 0 THEN 10 ELSE m END AS month FROM d)
 SELECT o_orderkey, year, month, (year - 2014) * 12 + month - 1 AS month_code, m AS town_code FROM e""")
 def code_to_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select("o_orderkey", *parse_columns(_code()))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", _code().alias("code")).select("o_orderkey", *parse_columns(F.col("code")))
 
 
 @query("SELECT p_partkey, (strlen(p_name) + strlen(p_brand) + strlen(p_type) + 3)::INTEGER AS bytes FROM part")
@@ -336,15 +382,89 @@ def record_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query over a store that is built first: encoded, clustered by month and flag, pruned when read."""
     rows = _lineitem(spark, sf_dir).select(month_ordinal(F.col("l_shipdate"), EPOCH).alias("month_code"), encode(F.col("l_returnflag"), FLAGS).alias("flag_code"), "l_quantity", "l_extendedprice")
-    path = store.scratch(spark, "lineitem")
+    path = folder(spark, "lineitem")
     store.write(rows, path, order=("month_code", "flag_code"))
     return _rounded(Query([Range("month_code", 30, 31), Exact("flag_code", 2), AREA], _prices()).run(store.read(spark, path)))
 
 
-@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_size::VARCHAR AS p_size FROM part")
-def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows written as delimited text and read back."""
-    rows = _table(spark, sf_dir, "part").select(*[F.col(c).cast("string") for c in ("p_partkey", "p_name", "p_size")])
-    path = store.scratch(spark, "part-text")
-    rows.write.mode("overwrite").option("header", True).csv(path)
-    return spark.read.schema(rows.schema).option("header", True).csv(path)
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of ten fields of text, with o_orderkey; every coded field takes all values of its dictionary."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    month = F.date_format(F.make_date(F.year("o_orderdate") + 20, F.month("o_orderdate"), F.lit(1)), "yyyy-MM")
+    fields = {
+        "month": month, "town": decode(c % len(TOWNS), TOWNS), "flat_type": decode(o % len(FLAT_TYPES), FLAT_TYPES), "block": (o % 1000).cast("string"),
+        "street_name": F.concat(F.lit("ÉST "), (c % 50).cast("string")), "storey_range": decode(c % len(STOREYS), STOREYS), "floor_area_sqm": (o % 480 / 4 + 30).cast("string"),
+        "flat_model": decode(o % len(FLAT_MODELS), FLAT_MODELS), "lease_commence_date": (F.lit(1966) + c % 57).cast("string"), "resale_price": F.col("o_totalprice").cast("string"),
+    }
+    return _table(spark, sf_dir, "orders").select("o_orderkey", *[fields[f.name].alias(f.name) for f in FIELDS])
+
+
+FIELDS_SQL = f"""fields AS (
+  SELECT o_orderkey, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m') AS month, {_list(TOWNS)}[o_custkey % 26 + 1] AS town, {_list(FLAT_TYPES)}[o_orderkey % 7 + 1] AS flat_type,
+         (o_orderkey % 1000)::VARCHAR AS block, 'ÉST ' || (o_custkey % 50) AS street_name, {_list(STOREYS)}[o_custkey % 17 + 1] AS storey_range, o_orderkey % 480 / 4.0::DOUBLE + 30 AS floor_area_sqm,
+         {_list(FLAT_MODELS)}[o_orderkey % 21 + 1] AS flat_model, (1966 + o_custkey % 57)::VARCHAR AS lease_commence_date, o_totalprice AS resale_price, o_custkey, o_orderdate
+  FROM orders
+)"""
+_NAMES = ", ".join(f.name for f in FIELDS)
+
+
+def _record_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Folders of record files: good lines, lines with a bad number, and lines of nine and of eleven fields."""
+    names, kind = [f.name for f in FIELDS], F.col("o_orderkey") % 13
+    rows = _fields(spark, sf_dir).withColumn("floor_area_sqm", F.when(kind == 3, F.lit("-1")).when(kind == 4, F.lit("80 m")).otherwise(F.col("floor_area_sqm")))
+    parts = [(kind > 2, names), (kind == 0, names), (kind == 1, names[:9]), (kind == 2, [*names, F.lit("more").alias("more")])]
+    paths = []
+    for keep, columns in parts:
+        paths.append(folder(spark, "records"))
+        rows.where(keep).select(*columns).write.option("header", True).csv(paths[-1])
+    return paths
+
+
+@query(f"WITH {FIELDS_SQL} SELECT {_NAMES} FROM fields WHERE o_orderkey % 13 NOT IN (1, 2, 3, 4)")
+def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files read, headers skipped, malformed lines dropped, numbers typed."""
+    return records.read(spark, _record_files(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN o_orderkey % 13 IN (1, 2) THEN 'arity' ELSE 'floor_area_sqm' END AS reason, count(*) AS records FROM orders WHERE o_orderkey % 13 IN (1, 2, 3, 4) GROUP BY 1")
+def record_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why lines were dropped: fields too few or too many, and numbers that are none (V1)."""
+    return records.rejects(records.read_raw(spark, _record_files(spark, sf_dir)))
+
+
+@query(f"""WITH {FIELDS_SQL}, written AS (SELECT *, printf('%.2f', floor_area_sqm) AS a, printf('%.2f', resale_price) AS p FROM fields)
+SELECT concat_ws(',', month, town, flat_type, block, street_name, storey_range,
+  CASE WHEN a[-2] = '0' THEN printf('%.0f', floor_area_sqm) WHEN a[-1] = '0' THEN a[:-2] ELSE a END, flat_model, lease_commence_date,
+  CASE WHEN p[-2] = '0' THEN printf('%.0f', resale_price) WHEN p[-1] = '0' THEN p[:-2] ELSE p END) AS line FROM written""")
+def record_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed records written as delimited text, and the lines of the files."""
+    path = folder(spark, "sink")
+    rows = _fields(spark, sf_dir)
+    records.write(rows.withColumns({c: F.col(c).cast("double") for c in ("floor_area_sqm", "resale_price")}), path)
+    header = ",".join(f.name for f in FIELDS)
+    return spark.read.text(path).where(F.col("value") != header).select(F.col("value").alias("line"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store built from record files, and records appended to it afterwards."""
+    raw, path = folder(spark, "records"), folder(spark, "store")
+    rows = _fields(spark, sf_dir)
+    first = F.col("o_orderkey") % 3 > 0
+    rows.where(first).drop("o_orderkey").write.option("header", True).csv(raw)
+    store.build(spark, raw, path)
+    more = records.validated(rows.where(~first).drop("o_orderkey"))
+    store.write(store.encoded(more), path, mode="append")
+    return store.read(spark, path)
+
+
+@query(f"""WITH {FIELDS_SQL} SELECT ((year(o_orderdate) + 6) - 2000) * 12 + month(o_orderdate) - 1 AS month_code, o_custkey % 26 AS town_code, o_orderkey % 7 AS flat_type_code, block, street_name,
+  o_custkey % 17 AS storey_range_code, floor_area_sqm, o_orderkey % 21 AS flat_model_code, o_custkey % 57 AS lease_commence_date_code, resale_price FROM fields""")
+def store_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a built and then extended store holds: codes, doubles and text."""
+    return _built(spark, sf_dir).select(*[F.col(f.stored).cast("long").alias(f.stored) if f.coded else F.col(f.stored) for f in FIELDS])
+
+
+@query(f"WITH {FIELDS_SQL} SELECT {_NAMES} FROM fields")
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a built and then extended store gives back."""
+    return store.decoded(_built(spark, sf_dir))

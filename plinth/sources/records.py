@@ -12,7 +12,7 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 CORRUPT = "_corrupt"
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All records as text fields, with the whole line in _corrupt where it hasn't exactly ten fields.
 
     Without columnPruning=false an over-long line would pass unseen as soon as fewer columns are asked for.
@@ -48,7 +48,7 @@ def rejects(raw: DataFrame) -> DataFrame:
     return raw.select(reject_reason(raw).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return validated(read_raw(spark, path))
 
 

@@ -6,8 +6,6 @@ month hold few towns. Parquet's own dictionary and run-length pages do what a ha
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plinth.functions.dictionaries import decoders, encoders
@@ -49,8 +47,3 @@ def build(spark: SparkSession, csv: str, path: str, unknown: int | None = None)
 
     write(encoded(records.read(spark, csv), unknown), path)
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a store that lives as long as the application: under the shared checkpoint folder, if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/plinth-{spark.sparkContext.applicationId}-{name}"

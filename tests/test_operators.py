@@ -80,11 +80,25 @@ def test_positions_keep_all_rows(spark):
     rng = random.Random(5)
     data = [(rng.randrange(9) if i % 7 else None, i) for i in range(3000)]
     df = spark.createDataFrame(data, "day int, k int")
-    out = with_positions(df, "day", ["k"]).orderBy("position").collect()
+    out = with_positions(df, ["day", "k"]).orderBy("position").collect()
     want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [(r.day, r.k) for r in out] == want and [r.position for r in out] == list(range(3000))
-    plan = with_positions(df, "day", ["k"])._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan
+
+
+def test_positions_of_a_hot_key_spread(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 9).alias("day"), F.col("id").alias("k"))
+    sorted_rows = with_positions(df, ["day", "k"], ranges=8)
+    assert sorted_rows.agg(F.count_distinct("position"), F.max("position")).first() == (40_000, 39_999)
+    files = sorted_rows.groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 8 and max(r["count"] for r in files) < 3 * 40_000 / 8
+
+
+def test_codes_without_a_bit_are_an_error(spark):
+    assert blocks.bitmap(make(spark, [0, 62, None]), "code").first().bits == 1 | 1 << 62
+    with pytest.raises(Exception, match="no bit for code 63"):
+        blocks.bitmap(make(spark, [1, 63]), "code").collect()
+    with pytest.raises(ValueError):
+        blocks.check_bits(F.col("bits"), Exact("code", 64))
 
 
 def test_nan_null_and_infinity_fail_ranges(spark):

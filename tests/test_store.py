@@ -37,7 +37,7 @@ def test_validation_drops_every_kind_of_reject(spark, csv):
 
 
 def test_golden_query(spark, built):
-    p = parse("U2220371G")
+    p = parse("Q0000071Z")
     assert (p.year, p.month, p.town, p.area) == (2021, 7, "TAMPINES", 80.0)
     assert close(price_query(p.month_code, p.town_code, p.area).run(store.read(spark, built)).first())
 
@@ -171,10 +171,10 @@ def test_clustering_prunes_row_groups(spark, tmp_path):
 
 
 def test_command_line(spark, csv, tmp_path, capsys):
-    args = ["--code", "U2220371G", "--data", csv, "--store", str(tmp_path / "s"), "--results", str(tmp_path / "r")]
+    args = ["--code", "Q0000071Z", "--data", csv, "--store", str(tmp_path / "s"), "--results", str(tmp_path / "r")]
     assert cli.main(args, spark) == 0
-    assert (tmp_path / "r/ScanResult_U2220371G.csv").read_text() == FILE
-    assert "Average Price: 500000.00" in capsys.readouterr().out
+    assert (tmp_path / "r/ScanResult_Q0000071Z.csv").read_text() == FILE
+    assert "Average Price = 500000.00" in capsys.readouterr().out
     assert cli.main(["--code", "x"], spark) == 1
 
 
