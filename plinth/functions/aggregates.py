@@ -15,17 +15,21 @@ SENTINELS = {"min": LARGEST, "avg": 0.0, "stddev_pop": 0.0}
 
 @dataclass(frozen=True)
 class Metric:
-    """function (min, avg or stddev_pop) of a column or an expression. Any number of metrics share one scan and one aggregate."""
+    """function (min, avg or stddev_pop) of a column or an expression, rounded if decimals are given. Any number of metrics share
+    one scan and one aggregate."""
 
     name: str
     function: str
     of: str | Column
+    decimals: int | None = None
 
     def column(self, empty: str = "null") -> Column:
         """empty: 'null' as in SQL, or 'sentinel'."""
         if self.function not in _FUNCTIONS:
             raise ValueError(f"unknown aggregate {self.function!r}")
         out = _FUNCTIONS[self.function](F.col(self.of) if isinstance(self.of, str) else self.of)
+        if self.decimals is not None:
+            out = F.round(out, self.decimals)
         if empty == "sentinel":
             out = F.coalesce(out, F.lit(SENTINELS[self.function]))
         elif empty != "null":
