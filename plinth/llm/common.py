@@ -10,6 +10,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plinth.sources.scratch import settle, spent
+
+__all__ = ["WORD", "chunks", "fresh", "pieces", "settle", "ship", "sliced", "spent", "table"]
+
 #: White space of every word rule in this subpackage: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors through Spark, once per application; they need no copy of their own."""
+    """Send this package to the executors through Spark, once per application; they need no copy of their own.
+
+    Every operator that runs Python on executors calls it. Executors get the file from the driver, so it may lie on the driver's disk.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_plinth_shipped", False):
         return
@@ -32,18 +39,6 @@ def ship(spark: SparkSession) -> None:
     sc._plinth_shipped = True
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage there.
-
-    The folder is the one that the session names in spark.checkpoint.dir. A local folder is made only where the
-    session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plinth-checkpoint-"))
-    return df.checkpoint()
-
-
 def sliced(column, rows: int = 256):
     """The values of an Arrow column in lists of so many: a batch's texts are never all held as Python strings."""
     for i in range(0, len(column), rows):

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plinth.llm.common import WORD, fresh, settle
 
+#: Bits of a document's place in the seeded order of its source, and those by which places are summed first.
+PLACE_BITS, BUCKET_BITS = 60, 14
 #: Sources whose targets are sent to every task, so that documents stay where they are. With more sources the join deals
 #: documents by source and salt; a hot source then spreads over so many tasks.
 SENT, SALTS = 50_000, 64
@@ -47,29 +49,79 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_epo
     return s.select("source", "source_size", target.alias("target"))
 
 
+def cuts(placed: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with extra (words above whole repetitions), cut_at, cut_before, cut_size: where in its order a source's extra words end.
+
+    placed: (source, at, size) rows. Words are summed by source and the upper bits of `at`; only the rows of the one bucket in
+    which a source's extra words end are put in order, so a hot source is one bucket's worth of rows to a task.
+    """
+    extra = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
+    t = targets.withColumn("extra", F.when(F.col("source_size") > 0, extra).otherwise(0.0))
+    bucket = F.shiftright("at", PLACE_BITS - BUCKET_BITS)
+
+    def ends(sums: DataFrame, order: str, left: Column) -> DataFrame:
+        """Rows (source, order, n) in which a source's running sum passes what is left."""
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        s = _met(sums, t.select("source", "extra", *(["bucket_before"] if "bucket_before" in t.columns else [])))
+        return s.withColumn("before", left + before).where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
+
+    sums = placed.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
+    hit = ends(sums, "bucket", F.lit(0)).select("source", "bucket", F.col("before").alias("bucket_before"))
+    inside = _met(placed.withColumn("bucket", bucket), settle(hit, "buckets"), "bucket").groupBy("source", "at", "bucket_before").agg(F.sum("size").alias("n"))
+    place = ends(inside, "at", F.col("bucket_before")).select("source", F.col("at").alias("cut_at"), F.col("before").alias("cut_before"), F.col("n").alias("cut_size"))
+    return _met(t, settle(place, "places"), how="left")
+
+
+def _met(left: DataFrame, right: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+    """left joined with right on source (null is a source) and the columns `more`; right's other columns are added."""
+    on = [F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n")]
+    right = right.select(*on, *[F.col(c) for c in right.columns if c != "source"])
+    return left.select("*", *on).join(right, ["_s", "_n", *more], how).drop("_s", "_n")
+
+
 def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", keep: list[str] = ("doc_id", "source")) -> DataFrame:
     """Returns the columns keep of every document, then size, source_size, target, whole, taken; those names of docs give way.
 
-    whole is the number of whole repetitions, taken the words with the fractional repetition: epochs * size rounded up or
-    down at a seeded point, so a source's words meet its target to a few parts in ten thousand however skewed its document
-    sizes are, and no document exceeds max_epochs times its size. The draw depends on seed and doc_id alone, so reruns,
-    lost executors and other partitionings agree. Null or empty texts have size 0 and take 0; a null source is a source; a
-    null doc_id draws as the empty text; repeated rows count each; an empty table gives an empty result.
+    A source's target is so many whole repetitions of all its documents, and one more of a seeded sample of them: in the order
+    that seed and doc_id draw, whole documents until the target is met. whole is a document's number of whole repetitions, taken its
+    words in the mix. The document in which the target falls gives its part of it (rows that share the draw give equal parts), so a
+    source's words meet its target but for one word a row there, however skewed its document sizes are; all others are
+    taken wholly or not at all, and none exceeds max_epochs times its size rounded up to a repetition. Reruns, lost executors and other
+    partitionings agree. Null or empty texts have size 0 and take 0; a null source is a source; a null doc_id draws as the
+    empty text; repeated rows count each; an empty table gives an empty result.
     """
     made = ("size", "source_size", "target", "whole", "taken")
     keep = [c for c in keep if c not in made]
-    sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), word_count(F.col("text")).alias("size"))
-    targets = settle(source_targets(sized.select("source", "size"), list(weights), share, max_epochs))
-    of, slot, salt = (fresh(name, docs) for name in ("_of", "_slot", "_salt"))
-    targets = targets.select(F.col("source").alias(of), "source_size", "target")
-    here = F.col("source").eqNullSafe(F.col(of))
-    if targets.count() <= SENT:
-        joined = sized.join(F.broadcast(targets), here, "left")
+    key = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(key), 1, PLACE_BITS // 4), 16, 10).cast("long")
+    size = word_count(F.col("text"))
+    placed = settle(docs.select(F.col("source").cast("string").alias("source"), draw.alias("at"), size.alias("size")), "sizes")
+    goals = settle(source_targets(placed.select("source", "size"), list(weights), share, max_epochs), "targets")
+    goals = settle(cuts(placed, goals), "cuts")
+    names = {c: fresh(f"_{c}", docs) for c in ("source", "at", "extra", "cut_at", "cut_before", "cut_size")}
+    goals = goals.select(*[F.col(c).alias(names.get(c, c)) for c in goals.columns])
+    sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), draw.alias(names["at"]), size.alias("size"))
+    here = F.col("source").cast("string").eqNullSafe(F.col(names["source"]))
+    if goals.count() <= SENT:
+        joined = sized.join(F.broadcast(goals), here, "left")
     else:
-        salted = targets.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        slot, salt = fresh("_slot", docs), fresh("_salt", docs)
+        salted = goals.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = sized.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, here & (F.col(salt) == F.col(slot)), "left")
-    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(2**32)
-    taken = F.least(F.floor(F.col("size") * epochs + draw).cast("long"), F.floor(max_epochs * F.col("size")).cast("long"))
-    return joined.select(*keep, "size", "source_size", "target", F.floor(epochs).cast("long").alias("whole"), taken.alias("taken"))
+    at, extra, cut_at, cut_before, cut_size = (F.col(names[c]) for c in ("at", "extra", "cut_at", "cut_before", "cut_size"))
+    part = F.floor(F.col("size") * (extra - cut_before) / cut_size).cast("long")
+    more = F.when(at < cut_at, F.col("size")).when(at == cut_at, part).otherwise(0)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    taken = (epochs * F.col("size") + more).alias("taken")
+    whole = (epochs + F.when(more == F.col("size"), F.when(F.col("size") > 0, 1).otherwise(0)).otherwise(0)).alias("whole")
+    return joined.select(*keep, "size", "source_size", "target", whole.cast("long").alias("whole"), taken)
+
+
+def repetitions(mixed: DataFrame) -> DataFrame:
+    """mixed, the result of mix(), with a row for each repetition of a document: repetition (from 1), and words, how many of its words it gives.
+
+    words is the document's size, but for the one document of a source that its target cuts. Documents that take nothing have no row.
+    """
+    n = F.ceil(F.col("taken") / F.col("size"))
+    out = mixed.where("taken > 0").withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    return out.withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("repetition") - 1) * F.col("size")))

@@ -15,10 +15,9 @@ from plinth.llm.tokencount import token_counts
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n and 2n + 1 are the chosen and the rejected one of pair n; the table names no pairs."""
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    side = F.when(F.col("conv_id") % 2 == 0, "chosen").when(F.col("conv_id").isNotNull(), "rejected")
-    return chatformat.preference(table(spark, sf_dir, "conversations"), pair, side)
+    """The table names no pairs: each conversation is preferred to itself with the last answer of its neighbour."""
+    rows = chatformat.mismatched(table(spark, sf_dir, "conversations"))
+    return chatformat.paired(chatformat.preference(rows, F.col("pair_id"), F.col("side")))
 
 
 #: The base rules of the URL filter.
@@ -81,7 +80,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
   FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -102,26 +102,47 @@ WITH sized AS (
   FROM flagged
 ), targets AS (
   SELECT source, source_size, CASE WHEN clamped THEN clamp ELSE words * weight / open_weight END AS target FROM settled
-)
+), extras AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+         CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE 0 END AS extra FROM targets
+), places AS (SELECT source, place, sum(size)::BIGINT AS n FROM sized GROUP BY source, place
+), running AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM places)
 SELECT d.doc_id, d.size, t.source_size, t.target,
-       least(floor(d.size * CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END
-                   + ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)::BIGINT,
-             2 * d.size)::BIGINT AS taken
-FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+       (t.epochs * d.size + CASE WHEN r.upto <= t.extra THEN d.size WHEN r.upto - r.n >= t.extra THEN 0 ELSE floor(d.size * (t.extra - (r.upto - r.n)) / r.n) END)::BIGINT AS taken
+FROM sized d JOIN extras t ON d.source IS NOT DISTINCT FROM t.source JOIN running r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place
 """
 
 
 OP1_SQL = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role,
-         '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS text
-  FROM conversations
+WITH answers AS (
+  SELECT conv_id, max(turn) AS ends, max_by(text, (turn, text)) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), both_sides AS (
+  SELECT a.conv_id AS pair_id, a.ends, a.answer, b.answer AS wrong FROM answers a JOIN answers b ON b.conv_id = a.conv_id + 1
+), turns AS (
+  SELECT DISTINCT p.pair_id, s.side, c.turn, c.role, c.text FROM conversations c JOIN both_sides p ON c.conv_id = p.pair_id AND c.turn < p.ends, (VALUES ('chosen'), ('rejected')) s(side)
+  UNION ALL SELECT pair_id, 'chosen', ends, 'assistant', answer FROM both_sides
+  UNION ALL SELECT pair_id, 'rejected', ends, 'assistant', wrong FROM both_sides
+), t AS (
+  SELECT pair_id, side, turn, role, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS text FROM turns
 ), places AS (
   SELECT pair_id, turn, count(DISTINCT side) = 2 AND count(DISTINCT (role, text)) = 1 AS same FROM t GROUP BY pair_id, turn
-), parts AS (SELECT pair_id, min(turn) AS parts_at FROM places WHERE NOT same GROUP BY pair_id)
-SELECT DISTINCT t.pair_id, CASE WHEN p.parts_at IS NULL OR t.turn < p.parts_at THEN 'prompt' ELSE t.side END AS part, t.turn, t.text,
-       t.role = 'assistant' AND p.parts_at IS NOT NULL AND t.turn >= p.parts_at AS trained
-FROM t LEFT JOIN parts p ON t.pair_id = p.pair_id
+), parts AS (SELECT pair_id, min(turn) AS parts_at FROM places WHERE NOT same GROUP BY pair_id
+), parted AS (
+  SELECT t.pair_id, t.turn // 256 AS piece, CASE WHEN p.parts_at IS NULL OR t.turn < p.parts_at THEN 'prompt' ELSE t.side END AS part, t.turn, t.text,
+         t.role = 'assistant' AND p.parts_at IS NOT NULL AND t.turn >= p.parts_at AS trained, t.side
+  FROM t LEFT JOIN parts p ON t.pair_id = p.pair_id
+), kept AS (SELECT * FROM parted WHERE part <> 'prompt' OR side = 'chosen'
+), spans AS (
+  SELECT *, sum(length(text)) OVER (PARTITION BY pair_id, piece, part ORDER BY turn, text) AS upto FROM kept
+), joined AS (
+  SELECT pair_id, piece, part, string_agg(text, '' ORDER BY turn, text) AS text,
+         coalesce(string_agg((upto - length(text) + 14)::BIGINT || ':' || upto::BIGINT, ',' ORDER BY turn, text) FILTER (WHERE trained), '') AS mask
+  FROM spans GROUP BY pair_id, piece, part
+)
+SELECT pair_id, piece, coalesce(max(text) FILTER (WHERE part = 'prompt'), '') AS prompt, coalesce(max(text) FILTER (WHERE part = 'chosen'), '') AS chosen,
+       coalesce(max(text) FILTER (WHERE part = 'rejected'), '') AS rejected, coalesce(max(mask) FILTER (WHERE part = 'chosen'), '') AS chosen_mask,
+       coalesce(max(mask) FILTER (WHERE part = 'rejected'), '') AS rejected_mask
+FROM joined GROUP BY pair_id, piece
 """
 
 OP6_SQL = r"""

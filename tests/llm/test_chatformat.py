@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from plinth.llm.chatformat import preference, rendered
+from plinth.llm.chatformat import CLOSE, mismatched, paired, preference, rendered
+from tests.llm.fixtures import LONG
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -58,3 +59,55 @@ def test_awkward_rows(spark):
 
 def test_rendered_nulls(spark):
     assert spark.range(1).select(rendered(F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0] == "<||>\n\n<|end|>\n"
+
+
+def render(role, text):
+    return f"<|{role or ''}|>\n{text or ''}{CLOSE}"
+
+
+def test_paired_rows_against_plain_code(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["x", "yé", "z😀"])) for c in range(120) for t in range(rng.randrange(1, 7))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("q") for c in ("pair_id", "side", "part", "piece", "prompt", "chosen_mask", "place", "spans")})
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t, role, text))
+    answers = {c: max((t, x) for t, r, x in own if r == "assistant") for c, own in by.items() if any(r == "assistant" for _, r, _ in own)}
+    got = {r.pair_id: r for r in paired(preference(mismatched(df), F.col("pair_id"), F.col("side"))).collect()}
+    assert set(got) == {c for c in answers if c + 1 in answers} and all(r.piece == 0 for r in got.values())
+    for c, r in got.items():
+        ends, answer = answers[c]
+        sides = [[(role, text) for t, role, text in by[c] if t < ends] + [("assistant", a)] for a in (answer, answers[c + 1][1])]
+        n = next((i for i, (x, y) in enumerate(zip(*sides)) if x != y), len(sides[0]))
+        assert r.prompt == "".join(render(*x) for x in sides[0][:n])
+        for own, text, mask in zip(sides, (r.chosen, r.rejected), (r.chosen_mask, r.rejected_mask)):
+            assert text == "".join(render(*x) for x in own[n:])
+            spans = [tuple(map(int, s.split(":"))) for s in mask.split(",") if s]
+            assert [text[a:b] for a, b in spans] == [x + CLOSE for role, x in own[n:] if role == "assistant"]
+
+
+def test_long_conversations_come_in_pieces(spark):
+    rows = [(p, t, "assistant" if t % 2 else "user", f"{t}{'!' if p and t > 5 else ''}") for p in (0, 1) for t in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    turns = preference(df, F.lit(3), F.when(F.col("conv_id") == 0, "chosen").otherwise("rejected"))
+    whole, parts = paired(turns).first(), sorted(paired(turns, 8).collect(), key=lambda r: r.piece)
+    assert len(parts) == 3 and sorted(paired(turns, 6).groupBy("pair_id").count().collect()) == [(3, 4)]
+    for c in ("prompt", "chosen", "rejected"):
+        assert "".join(r[c] for r in parts) == whole[c] != ""
+    for r in [whole, *parts]:
+        for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask)):
+            assert all(text[int(a) : int(b)].endswith(CLOSE) for a, b in (s.split(":") for s in mask.split(",") if s))
+
+
+def test_awkward_pairs(spark):
+    rows = [(0, 0, "user", LONG), (0, 1, "assistant", None), (1, 0, None, None), (1, 1, "assistant", LONG), (1, 1, "assistant", "a"), (2, None, "assistant", "x"), (2, 0, "assistant", "b"), (None, 0, "assistant", "n"), (4, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.pair_id: r for r in paired(preference(mismatched(df), F.col("pair_id"), F.col("side"))).collect()}
+    assert set(got) == {0, 1}
+    assert got[0].prompt == render("user", LONG) and got[0].chosen == render("assistant", "") and got[0].rejected == render("assistant", LONG)
+    assert got[1].prompt == render("", "") and got[1].chosen == render("assistant", LONG) and got[1].rejected == render("assistant", "b")
+    assert paired(preference(mismatched(df.limit(0)), F.col("pair_id"), F.col("side"))).count() == 0
+    some = paired(preference(df, F.col("conv_id"), F.lit("chosen"))).collect()
+    assert sum(r.prompt == r.rejected == "" for r in some) == len(some) == 5  # null turns are a piece before the others

@@ -43,18 +43,39 @@ def test_against_repeated_sharing(spark, seed, sent, monkeypatch):
     want = brute_targets(by_source, [5, 2, 1], 1.5, 2)
     got = mixing.mix(df).collect()
     assert sorted(r.doc_id for r in got) == sorted(size)
-    taken = {}
+    taken, cut = {}, {}
     for r in got:
         assert r.size == size[r.doc_id] and r.source_size == by_source[r.source]
         assert r.target == pytest.approx(want[r.source], abs=1e-6)
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and r.whole * r.size <= r.taken
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    for s, t in taken.items():
-        n = sum(1 for _, _, _, x, _ in rows if x == s)
-        assert abs(t - want[s]) <= 1 + 2 * n**0.5
+        cut[r.source] = cut.get(r.source, 0) + (r.taken != r.whole * r.size)
+    assert all(abs(t - want[s]) <= 1 for s, t in taken.items())
+    assert all(n <= 1 for n in cut.values()) and sum(cut.values()) >= 1  # whole documents, but for one of a source
+    assert len({r.whole for r in got}) > 1
+    rows = mixing.repetitions(mixing.mix(df)).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.doc_id, []).append((r.repetition, r.words))
+    for r in got:
+        own = sorted(of.get(r.doc_id, []))
+        assert sum(w for _, w in own) == r.taken and [k for k, _ in own] == list(range(1, len(own) + 1)) and all(w == r.size for _, w in own[:-1])
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
 
 
+def test_the_sample_follows_the_seed(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", "a" if i % 3 else "b", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = ({r.doc_id: r.whole for r in mixing.mix(df, share=0.9, seed=s).collect()} for s in ("x", "y"))
+    assert a != b and set(a.values()) == {0, 1}
+
+
+def test_rows_of_one_id_share_the_cut(spark):
+    df = spark.createDataFrame([(7, "one two three four five", "en", "a", 0)] * 30, SCHEMA)
+    got = mixing.mix(df, share=0.5).collect()
+    assert [(r.whole, r.taken) for r in got] == [(0, 2)] * 30  # half of 150 words is 2.5 of each row
+
+
 def test_awkward_rows(spark):
     out = mixing.mix(odd(spark))
     assert ids(out) == ALL_IDS
