@@ -60,6 +60,15 @@ def test_against_brute_force(spark, seed, width, tile, monkeypatch):
     assert got == brute(docs, width)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_whole_sets_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 11)
+    monkeypatch.setattr(neardup, "SENT", 0)
+    docs = corpus(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, SCHEMA), width=4, k=None).collect()}
+    assert got == brute(docs, 4)
+
+
 def test_sets_have_the_right_sizes_in_any_chunks(monkeypatch):
     texts = [t for _, t, *_ in corpus(4)] + [None, "", " \n", "Ä Ä ä A a", "x" * 9000 + " y"]
     whole = [s.tolist() for s in shingles.sets(texts, 4)]
@@ -103,7 +112,7 @@ def test_repeated_rows_are_held_once(spark):
     rows = [(1, text, "en", "a", 0)] * 300 + [(2, text + " more", "en", "a", 0)] * 300 + [(3, "w1 " + text, "en", "a", 0), (3, "other words", "en", "a", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     full = neardup.full_sets(df.select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id"), 5)
-    assert full.count() == 4
+    assert full.count() == 4 and full.select("n", "s1", "s2").distinct().count() == 4
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
@@ -118,3 +127,32 @@ def test_rows_of_one_id_get_one_component(spark):
     df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
     got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=4).collect()}
     assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 7, True), (8, 7, False), (6, 6, True)}
+
+
+def test_no_text_goes_with_another_of_its_id(spark):
+    rows = [(5, "a b c d e"), (7, "a b c d e"), (7, "x y z w v"), (9, "X Y z w v"), (9, ""), (9, None), (4, "only one"), (4, "only one")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).withColumns({"_gone": F.lit(1), "_sign": F.lit(2), "n": F.lit(3)})
+    assert sorted((r.doc_id, r.text or "") for r in neardup.deduplicate(df).collect()) == [(4, "only one"), (4, "only one"), (5, "a b c d e"), (7, "x y z w v"), (9, ""), (9, "")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (4, 4)}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_brute_force_with_ids_on_several_texts(spark, seed):
+    rng = random.Random(seed)
+    docs = [(i if rng.random() < 0.8 else rng.randrange(90), *rest) for i, *rest in corpus(seed, n=30, group=20)]
+    sets, want = [(i, plain_set(t, 4)) for i, t, *_ in docs], {i: i for i, *_ in docs}
+    links = [(i, j) for x, (i, a) in enumerate(sets) for j, b in sets[:x] if a and b and 100 * len(a & b) >= 80 * len(a | b)]
+    while moved := [(i, j) for i, j in links if want[i] != want[j]]:
+        for i, j in moved:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, SCHEMA), width=4).collect()}
+    assert got == want
+
+
+def test_near_copies_and_other_texts_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (7, text + " more"), (7, "quite another text of seven words"), (8, "quite another text of seven words"), (3, "w1 " + text), (3, "and a third text of one id")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id, len(r.text)) for r in neardup.deduplicate(df).collect()) == sorted([(3, len("w1 " + text)), (3, 26), (7, 33)])
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(3, 3), (5, 3), (7, 3), (8, 3)}
