@@ -206,6 +206,10 @@ class Linked:
         need = least_shared(k, threshold)
         self.every = every = settle(sketched(docs, width, k), "sketches")
         self.linkable = linkable = every.where("n > 0 and doc_id is not null")
+        # An id on rows of different texts is one document.
+        sign = F.struct("n", "s1", "s2")
+        self.reused = settle(every.where("doc_id is not null").groupBy("doc_id").agg(F.min(sign).alias("low"), F.max(sign).alias("high")).where("low <> high").select("doc_id"), "reused")
+        self.some_reused = not self.reused.isEmpty()
         classes = self._nodes(settle(linkable.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "sketch")).alias("least")).select("n", "s1", "s2", "least.doc_id", "least.sketch"), "classes"))
 
         # Retained values that several classes hold; a class needs as many as a partner at the threshold would share. Counts by value
@@ -247,17 +251,15 @@ class Linked:
             of_text = of_text.join(least, "of_text").withColumn("of_text", F.col("least"))
         self.of_text = settle(of_text.select("n", "s1", "s2", "of_text"), "of_text")
         spent(self._written, more)
-        # An id on rows of different texts is one document.
-        sign = F.struct("n", "s1", "s2")
-        self.reused = settle(every.where("doc_id is not null").groupBy("doc_id").agg(F.min(sign).alias("low"), F.max(sign).alias("high")).where("low <> high").select("doc_id"), "reused")
-        self.some_reused = not self.reused.isEmpty()
 
     def _nodes(self, classes: DataFrame) -> DataFrame:
         """classes with a node of each: its doc_id, or a hash where that id stands for another class as well."""
+        self.several, self._written = False, classes
+        if not self.some_reused:
+            return classes.withColumn("node", F.col("doc_id"))
         own = classes.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1").select("doc_id", "first")
         own = settle(own, "several")
         self.several = not own.isEmpty()
-        self._written = classes
         if not self.several:
             return classes.withColumn("node", F.col("doc_id"))
         node = F.when(F.col("first").isNull() | (F.col("first") == F.struct("n", "s1", "s2")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "n", "s1", "s2"))
