@@ -29,8 +29,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.digest(docs, pii.bootstrap(docs))
+    scanned = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.digest(scanned, pii.bootstrap(scanned))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from plinth.llm import decontam, pii, toxicity as tox
 from plinth.llm.queries import ORACLES, QUERIES, held_out
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_neardup import brute
+from tests.llm.test_pii import plain_patterns, plain_spans
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -30,9 +31,10 @@ def test_run_against_plain_code(spark):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
     assert leaked and not leaked & set(out) and set(out) <= set(left)
     assert len(out) >= len(left) - len(leaked) - 2  # edited copies of items may go as well
-    sizes = {}
+    sizes, patterns = {}, plain_patterns([docs[i].text for i in out])
+    assert patterns["token"][0] == pii.SECRET and any("<SECRET>" in r.text for r in out.values())
     for i, r in out.items():
-        assert r.text == pii.masked(docs[i].text, pii.base_spans(docs[i].text)) and r.n_chars == len(r.text)
+        assert r.text == pii.masked(docs[i].text, plain_spans(docs[i].text, patterns)) and r.n_chars == len(r.text)
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
         sizes[r.source] = sizes.get(r.source, 0) + r.size
     want = brute_targets(sizes, [5, 2, 1], 1.5, 2)
