@@ -107,3 +107,69 @@ def test_score_is_that_of_the_whole_text():
         assert [round(s, 9) for _, s, *_ in got] == ([round(share, 9)] if share >= 0.4 else [])
     assert len(found[4]) == 1 and not found[5]
     assert found[-1] == [(0, 1.0, 42, 103)]  # of places alike the first, as narrow as seeds tell
+
+
+def edited(rng, own, vocabulary, share):
+    """So many of the words replaced, dropped or parted by a new one."""
+    own = list(own)
+    for k in sorted(rng.sample(range(len(own)), round(share * len(own))), reverse=True):
+        own[k : k + rng.choice([1, 1, 1, 0])] = [rng.choice(vocabulary)] * rng.choice([1, 1, 1, 0]) or [rng.choice(vocabulary)]
+    return own
+
+
+@pytest.mark.parametrize("length", [8, 12, 30, 80])
+def test_recall_against_every_alignment(spark, length):
+    rng = random.Random(length)
+    vocabulary = ["".join(rng.choice("abdefghklmnprstu") for _ in range(rng.randrange(2, 7))) for _ in range(3000)]
+    text = lambda n: [vocabulary[min(int(rng.paretovariate(0.4)), 2999)] if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(n)]
+    items = [text(length) for _ in range(8)]
+    docs = []
+    for i in range(160):
+        words = text(120)
+        if i % 4:
+            at = rng.randrange(120)
+            words[at:at] = edited(rng, rng.choice(items), vocabulary, 1 / 3)
+        docs.append(words)
+    want = {}
+    for i, words in enumerate(docs):
+        for k, item in enumerate(items):
+            score = smith_waterman(item, words) / (d.EQUAL * len(item))
+            if score >= d.THRESHOLD:
+                want[i, k] = score
+    df = spark.createDataFrame([(i, " ".join(w), "en", "a", 0) for i, w in enumerate(docs)], SCHEMA)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.contamination(df, bench).collect()}
+    assert set(got) <= set(want) and all(got[x] <= want[x] + 1e-9 for x in got)
+    assert len(want) > 40 and len(got) >= 0.95 * len(want) and sum(abs(got[x] - want[x]) < 1e-9 for x in got) >= 0.95 * len(got)
+
+
+def test_short_items_count_where_they_are_rare(spark):
+    docs = [(i, "the usual words of the corpus and more of the same " * 3000, "en", "a", 0) for i in range(8)]
+    docs += [(20, "here stands photosynthesis once", "en", "a", 0), (21, "a Chloroplast membrane, too", "en", "a", 0), (22, "membrane chloroplast", "en", "a", 0)]
+    bench = spark.createDataFrame([(1, "Photosynthesis"), (2, "chloroplast membrane"), (3, "the"), (4, "of the")], "item_id long, text string")
+    out = d.contamination(spark.createDataFrame(docs, SCHEMA), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in out) in ([(20, 1, 1.0), (21, 2, 1.0)], [(21, 2, 1.0)])
+
+
+def test_hot_phrases_are_worked_through_in_parts(monkeypatch):
+    rng = random.Random(1)
+    phrase = [f"p{k}" for k in range(6)]
+    items = [(i, " ".join(phrase + [f"i{i}x{k}" for k in range(8)])) for i in range(200)]
+    texts = [" ".join((phrase + [f"z{k}" for k in range(4)]) * 100 + items[7][1].split()), " ".join(phrase), items[3][1], None]
+    own = d.Items(items)
+    words, begin = own.numbers(texts)
+    own.seed(np.ones(len(own.number)), 10**6)
+    whole = d.leaks(texts, own, 0.5)
+    assert [[f[:2] for f in x if f[1] == 1] for x in whole] == [[(7, 1.0)], [], [(3, 1.0)], []]
+    monkeypatch.setattr(d, "POSTINGS", 500)
+    assert d.leaks(texts, own, 0.5) == whole
+    assert max(len(h[0]) for h in own.hits(words, begin)) < 20_000 < sum(len(h[0]) for h in own.hits(words, begin))
+
+
+def test_a_benchmark_in_other_letters_is_held_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(d.blocks, "__defaults__", (12,))
+    items = [(i, f"мама мыла раму номер{i} и ещё слово{i} дома{i}") for i in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(i, f"вот {t} конец", "ru", "a", 0) for i, t in items], SCHEMA)
+    assert len(list(d.blocks(df, bench))) == 7
+    assert {(r.doc_id, r.item_id) for r in d.contamination(df, bench).collect() if r.score == 1} == {(i, i) for i in range(10)}
