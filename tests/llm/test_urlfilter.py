@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.llm import urlfilter
@@ -42,29 +44,77 @@ def test_base_rules_against_plain_code(spark):
         url = data[r.page_id][1]
         verdict, rule = judged(url)
         assert (r.host, r.path) == parts(url), url
-        assert r.rule == rule and r.verdict == (verdict or ("block" if r.score >= urlfilter.MIN_CONFIDENCE else "allow")), url
+        assert r.rule == rule and (verdict is None or (r.verdict, r.mined) == (verdict, None)), url
+
+
+def plain_rules(rows):
+    """The rules of (tokens, verdict or None) rows, by trying every combination."""
+    known = [(t, v) for t, v in rows if v]
+    share = {v: sum(x == v for _, x in known) / len(known) for v in ("block", "allow")}
+    least = max(urlfilter.MIN_COUNT, urlfilter.MIN_SHARE * len(known))
+    every = sorted({t for own, _ in known for t in own})
+    sure = lambda s, v: sum(x == v for t, x in known if s <= t) / max(1, sum(s <= t for t, _ in known))
+    out = {}
+    for k in range(1, urlfilter.MOST_TOKENS + 1):
+        for s in map(frozenset, itertools.combinations(every, k)):
+            for v in share:
+                if sum(s <= t and x == v for t, x in known) < least:
+                    continue
+                c = sure(s, v)
+                total, labelled = sum(s <= t for t, _ in rows), sum(s <= t for t, _ in known)
+                if c >= max(urlfilter.MIN_CONFIDENCE, urlfilter.MIN_LIFT * share[v]) and all(c >= sure(s - {t}, v) + urlfilter.MIN_GAIN for t in s) and labelled >= urlfilter.MIN_KNOWN * total:
+                    out[s, v] = (c, c / share[v], labelled, total)
+    return out
+
+
+def random_rows(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(500):
+        own = frozenset(rng.sample(["h:p", "h:q", "p:r", "p:s", "w:t", "q:u", "w:v"], rng.randrange(1, 6)))
+        says = "block" if {"h:p", "p:r"} <= own or {"w:t", "q:u"} <= own else "allow"
+        if rng.random() < 0.05:
+            says = "allow" if says == "block" else "block"
+        rows.append((own, says if rng.random() < (0.1 if "w:v" in own else 0.7) else None))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_rules_and_verdicts_against_every_combination(spark, seed):
+    rows = random_rows(seed)
+    df = spark.createDataFrame([(i, "h", "/", None if v is None else "x/", v, sorted(t)) for i, (t, v) in enumerate(rows)], "page_id long, host string, path string, rule string, known string, tokens array<string>")
+    mined, want = urlfilter.mine(df), plain_rules(rows)
+    got = {(r.tokens, r.verdict): (r.confidence, r.lift, r.examples, r.urls) for r in mined}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert any(len(s) == 2 and v == "block" for s, v in want)
+    order = sorted(want, key=lambda x: (-want[x][1], -want[x][0], x[1], sorted(x[0])))
+    for r in urlfilter.apply(df, mined).collect():
+        own, known = rows[r.page_id]
+        best = next((x for x in order if x[0] <= own), None)
+        if known:
+            assert (r.verdict, r.mined, r.score) == (known, None, 0.0)
+        else:
+            assert (r.verdict, r.mined) == ((best[1], " ".join(sorted(best[0]))) if best else ("allow", None))
 
 
 def test_mined_rules_reach_other_hosts(spark):
     data = [(i, f"http://a{i}.com/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)] + [(900, "http://x.org/bad/7"), (901, "http://x.org/good/7")]
-    df = spark.createDataFrame(data, "page_id long, url string").withColumns({"tokens": F.lit(1), "index": F.lit(2), "items": F.lit(3), "rule": F.lit(4)})
+    df = spark.createDataFrame(data, "page_id long, url string").withColumns({"tokens": F.lit(1), "index": F.lit(2), "items": F.lit(3), "rule": F.lit(4), "met": F.lit(5), "best": F.lit(6), "known": F.lit(7)})
     out = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("block", "com/bad/")]).collect()}
     assert (out[900].verdict, out[901].verdict, out[900].rule) == ("block", "allow", None)
+    assert (out[900].mined, out[901].mined, out[900].score) == ("p:bad", "p:good", 1.0)
 
 
-def test_rules_against_counts(spark):
-    rng = random.Random(8)
-    rows = [(sorted(rng.sample(["p", "q", "r", "s"], rng.randrange(1, 4))),) for _ in range(300)]
-    rows = [(t, "p" in t and "q" in t or rng.random() < 0.05) for (t,) in rows]
-    found = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
-    assert any(s == {"p", "q"} for s, _, _ in found)
-    for s, confidence, n in found:
-        within = [b for t, b in rows if s <= set(t)]
-        assert n == sum(within) and abs(confidence - n / len(within)) < 1e-12
+def test_a_repeated_url_of_many_tokens_stays_small(spark):
+    deep = "/".join(f"part{chr(97 + k)}" for k in range(24))
+    data = [(i, f"http://a.com/bad/{deep}" if i % 2 else f"http://b.com/good/{i}") for i in range(300)] + [(900, f"http://x.org/bad/{deep}"), (901, "http://y.org/" + "z/" * 40_000), (902, "http://y.org/bad?" + "&".join(f"k{j}=1" for j in range(3000)))]
+    df = spark.createDataFrame(data, "page_id long, url string")
+    out = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("block", "com/bad/")]).collect()}
+    assert out[900].verdict == "block" and out[901].verdict == "allow" and len(out) == 303
 
 
 def test_empty_and_unjudged(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judge(none, BASE_RULES).count() == 0
     some = spark.createDataFrame([(None, "http://a.org/x"), (1, "http://a.org/x"), (1, "http://a.org/x")], "page_id long, url string")
-    assert [r.verdict for r in urlfilter.judge(some, BASE_RULES).collect()] == ["allow"] * 3
+    assert [(r.verdict, r.mined) for r in urlfilter.judge(some, BASE_RULES).collect()] == [("allow", None)] * 3
