@@ -7,11 +7,13 @@ vectors are broadcast, and each batch of documents is multiplied with them block
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import chunks, pieces, sliced
+from plinth.llm.common import chunks, pieces, ship, sliced
 
 #: Columns of either kind of trigram, latent axes, neighbours that vote, and the sharpness of their weights.
 COLUMNS, AXES, NEIGHBOURS, SHARPNESS = 1024, 64, 9, 12.0
@@ -21,6 +23,8 @@ CHUNK, BLOCK = 1_000_000, 512
 #: Odd multipliers that spread trigrams over columns.
 SPREAD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
+#: What parts words here.
+_PARTING, _NEXT = "\0\n ", re.compile("[\0\n ]")
 _shape: np.ndarray | None = None
 
 
@@ -64,18 +68,35 @@ def features(texts: list[str | None]) -> np.ndarray:
         if b - a > 1:
             out[a:b] = _counts([t or "" for t in texts[a:b]])
         else:
-            out[a] = sum((_counts([p])[0] for _, p in pieces(texts[a] or "", CHUNK)), np.zeros(2 * COLUMNS))
+            out[a] = sum((_part(texts[a], at, at + len(p)) for at, p in pieces(texts[a] or "", CHUNK)), np.zeros(2 * COLUMNS))
     return np.log1p(out)
 
 
-def _counts(texts: list[str]) -> np.ndarray:
+def _part(text: str, first: int, end: int) -> np.ndarray:
+    """Counts of the trigrams that begin in a piece of a long text: it is read with the word before and the words that begin in the
+    two characters after, so that the counts of all pieces are those of the whole text."""
+    low, high = first, end
+    while low and text[low - 1] in _PARTING:
+        low -= 1
+    while low and text[low - 1] not in _PARTING:
+        low -= 1
+    m = _NEXT.search(text, min(len(text), end + 2))
+    high = m.start() if m else len(text)
+    return _counts([text[low:high]], first - low, end - low)[0]
+
+
+def _counts(texts: list[str], first: int = 0, end: int | None = None) -> np.ndarray:
+    """Counts of trigrams by column; of a single text, those that begin from first to end."""
     out = np.zeros((len(texts), 2 * COLUMNS), np.float32)
     code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(code) < 4:
         return out
     row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 1 for t in texts])
-    low = np.frombuffer("\0".join([*(t.lower() if len(t.lower()) == len(t) else t for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.frombuffer("\0".join([*(t.replace("\u0130", "i").lower() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = (code[:-2] > 0) & (code[1:-1] > 0) & (code[2:] > 0)
+    if end is not None:
+        at = np.arange(len(inside))
+        inside &= (at >= first) & (at < end)
     row = row[:-2][inside]
     for k, x in enumerate((low, shaped(code))):
         h = x[:-2] * SPREAD[0] + x[1:-1] * SPREAD[1] + x[2:] * SPREAD[2]
@@ -89,6 +110,7 @@ class Voters:
 
     def __init__(self, texts: list[str | None], labels: list[int]):
         self.labels = np.array(labels, np.float32)
+        self.share = float(self.labels.mean()) if len(labels) else 0.5
         if not len(labels):
             return
         x = features(texts)
@@ -107,32 +129,39 @@ class Voters:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of good neighbours, weighted by similarity; without any voter 0.5."""
+        """Share of good neighbours, weighted by similarity; ties go to the earlier voter. A text without trigrams has the share of good
+        voters, and without any voter all have 0.5."""
         if not len(self.labels):
-            return np.full(len(texts), 0.5)
+            return np.full(len(texts), self.share)
         out, k = [], min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(texts), BLOCK):
-            cosine = self.unit(self.scaled(features(texts[i : i + BLOCK])) @ self.axes) @ self.vectors.T
+            own = features(texts[i : i + BLOCK])
+            cosine = self.unit(self.scaled(own) @ self.axes) @ self.vectors.T
             top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cosine, top, 1).min(1)
+            for r in np.flatnonzero((cosine >= least[:, None]).sum(1) > k):  # ties for the last place
+                top[r] = np.argsort(-cosine[r], kind="stable")[:k]
+            top.sort(1)
             weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, top, 1) - 1)).astype(np.float64)
-            out.append((weight * self.labels[top]).sum(1) / weight.sum(1))
+            out.append(np.where(own.any(1), (weight * self.labels[top]).sum(1) / weight.sum(1), self.share))
         return np.concatenate(out) if out else np.zeros(0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 8, longest: int = 20_000) -> Voters:
     """Voters from at most `sample` labelled rows (doc_id, quality), those of the smallest hash among documents of at most
-    `longest` characters, so that the driver's share is bounded. Exact copies vote once; rows without id or label don't."""
+    `longest` characters, so that the driver's share is bounded. Exact copies vote once, by the smallest id; rows without id or label don't."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).orderBy("doc_id").select("text", "quality").collect()
+    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "quality")).alias("first")).orderBy("first").select("text", "first.quality").collect()
     return Voters([r.text for r in rows], [r.quality for r in rows])
 
 
 def quality(docs: DataFrame, voters: Voters, threshold: float = 0.3) -> DataFrame:
     """Returns doc_id, score, predicted (1 if score >= threshold) for every row.
 
-    Texts of any length are read whole; null and empty texts score as the vector of zeros does, repeated rows alike, ties among
-    neighbours in the order of the sample; rows with a null doc_id stay, and an empty table gives an empty result.
+    Texts of any length are read whole; null and empty texts, and those under three characters, score the share of good voters, repeated rows
+    alike, ties among neighbours in the order of the sample; rows with a null doc_id stay, and an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(voters)  # at most SAMPLE vectors and the axes
 
     def run(batches):

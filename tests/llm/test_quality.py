@@ -44,12 +44,28 @@ def test_votes_against_brute_force():
 
 def test_chunks_change_nothing(monkeypatch):
     docs, _ = made(60)
-    texts = [t for _, t, *_ in docs] + [None, ""]
+    texts = [t for _, t, *_ in docs] + [None, "", "İa B  again again\nagain x " * 30, "again " * 50]
     whole = q.features(texts)
-    monkeypatch.setattr(q, "CHUNK", 100)
-    assert np.abs(q.features(texts) - whole).max() < 0.8 and not whole[-2:].any()  # a few trigrams at the cuts go
-    monkeypatch.setattr(q, "CHUNK", 3000)
-    assert (q.features(texts) == whole).all()
+    for chunk in (100, 17, 3000):
+        monkeypatch.setattr(q, "CHUNK", chunk)
+        assert (q.features(texts) == whole).all()
+    assert not whole[60:62].any()
+
+
+def test_ties_and_empty_texts_have_a_defined_score():
+    docs, labels = made(40)
+    voters = q.Voters([t for _, t, *_ in docs] + ["same old words"] * 30, [y for _, y in labels] + [1] * 9 + [0] * 21)
+    a, b = voters.score(["same old words", ""])
+    assert a == pytest.approx(1.0) and b == pytest.approx((sum(y for _, y in labels) + 9) / 70)
+
+
+def test_copies_vote_by_their_smallest_id(spark):
+    rows = [(i, f"text number {i % 3} of these", "en", "a", 0) for i in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(9)], "doc_id long, quality int")
+    for parts in (1, 5):
+        voters = q.learn(df.repartition(parts), labels.repartition(parts))
+        assert voters.labels.tolist() == [1.0] * 3
 
 
 @pytest.mark.parametrize("make", [odd, cluttered])
