@@ -8,6 +8,7 @@ walks through that table, all words of a chunk at the same time, a character at
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plinth.llm.common import chunks, pieces, settle, sliced
+from plinth.llm.common import chunks, pieces, settle, ship, sliced
 
 #: Words and stems shorter than this are matched exactly only; a term's length in characters, from and to.
 FUZZY_FROM, SHORTEST, LONGEST = 5, 3, 10
@@ -28,6 +29,8 @@ SHARES = (0.003, 0.008, 0.015)
 SKETCH, ALIKE = 16, 8
 #: Labelled rows that the lexicon is learned from, those of the smallest hash: the documented bound of the sample.
 SAMPLE = 8192
+#: Terms that are weighed against each other, those of most support: the documented bound of what reaches the driver.
+CANDIDATES = 50_000
 #: Signs that count as a letter between two letters, as they stand for one.
 MASKS = "*@$#!"
 #: Characters on either side of a match that its context score looks at, and what is left of a match in quotation.
@@ -148,9 +151,10 @@ class Automaton:
         self.term = np.array([k for k, _ in final], np.int32)
         self.edits = np.array([e for _, e in final], np.int8)
         self.cls = np.zeros(0x110000, np.uint8)
-        for cp in range(0x110000):
-            if chr(cp).isalnum():
-                self.cls[cp] = self.letters.get(chr(cp), 1)
+        for first, end in _alphanumeric():
+            self.cls[first:end] = 1
+        for c, k in self.letters.items():
+            self.cls[ord(c)] = k
         self.masks = np.zeros(0x110000, bool)
         self.masks[[ord(c) for c in MASKS]] = True
         if len(letters) > 253:
@@ -184,6 +188,12 @@ class Automaton:
         return words, list(zip(of.tolist(), (starts[hit] - first[of]).tolist(), (stops[hit] - first[of]).tolist(), self.term[end_state[hit]].tolist(), self.edits[end_state[hit]].tolist(), strict=True))
 
 
+@lru_cache(maxsize=1)
+def _alphanumeric() -> list[tuple[int, int]]:
+    """Ranges of code points that are letters or digits."""
+    return [m.span() for m in re.finditer(r"[^\W_]+", "".join(map(chr, range(0x110000))))]
+
+
 def context(text: str, start: int, end: int) -> float:
     """1 for a term that is used, QUOTED for one that is mentioned: in quotation marks, or after a reporting word."""
     left, right = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
@@ -281,26 +291,27 @@ def families(sketches: dict[int, list[int]]) -> dict[int, int]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Lexicon:
     """The lexicon of a sample of at most `sample` rows of labels (doc_id, toxic), those of the smallest hash.
 
-    Rows without a label or an id take no part; without any toxic row the lexicon is empty. What reaches the driver is
-    bounded by the sample: the terms of its toxic documents, and the matches of each of its documents.
+    Rows without a label or an id take no part, and copies of a text count by the smallest id; without any toxic row the lexicon is
+    empty. What reaches the driver is bounded by the sample and by CANDIDATES: sketches of its toxic documents, counts by term, and how
+    often each term of the lexicon matches.
     """
+    ship(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    picked = settle(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    picked = settle(texts.groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("first")).select("first.*", "text"), "sample")
     worded = picked.select("doc_id", "toxic", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("words")).withColumn("words", F.filter("words", lambda w: F.length(w).between(2, 40)))
     sketch = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, SKETCH)
     family = families({r.doc_id: r.sketch for r in worded.where("toxic = 1").select("doc_id", sketch.alias("sketch")).collect()})
+    if not family:
+        return Lexicon([], [], [])
+    kinds = docs.sparkSession.createDataFrame(list(family.items()), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, family {docs.schema['doc_id'].dataType.simpleString()}")
     rated = _counted(worded).where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * F.col("n")))
     held = worded.where("toxic = 1").select("doc_id", F.explode("words").alias("word")).select("doc_id", _terms("word")).distinct()
-    holds: dict[str, tuple[set[int], set[int]]] = {}
-    clean: dict[str, int] = {}
-    toxic: dict[str, int] = {}
-    for r in held.join(rated, "term").select("term", "doc_id", "toxic", "n").collect():
-        mine = holds.setdefault(r.term, (set(), set()))
-        mine[0].add(r.doc_id)
-        mine[1].add(family[r.doc_id])
-        toxic[r.term], clean[r.term] = r.toxic, r.n - r.toxic
+    by_term = held.join(F.broadcast(kinds), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("own"), F.count_distinct("family").alias("kinds")).where(F.col("kinds") >= SUPPORT)
     # A stem counts once for each of its words in a document, on either side; copies count as one document.
-    support = {t: toxic[t] * len(kinds) / len(own) for t, (own, kinds) in holds.items() if len(kinds) >= SUPPORT}
+    weighed = by_term.join(rated, "term").select("term", (F.col("toxic") * F.col("kinds") / F.col("own")).alias("support"), (F.col("n") - F.col("toxic")).alias("clean"))
+    rows = weighed.orderBy((F.col("support") - 2 * F.col("clean")).desc(), "term").limit(CANDIDATES).collect()
+    support, clean = {r.term: r.support for r in rows}, {r.term: r.clean for r in rows}
     if not (terms := choose(support, clean)):
         return Lexicon([], [], [])
     key = tuple(terms)
@@ -349,4 +360,5 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataF
     Texts of any length are read whole; null and empty texts score 0, repeated rows alike; rows with a null doc_id stay, and an empty
     table gives an empty result.
     """
+    ship(docs.sparkSession)
     return docs.select("doc_id", score(lexicon)(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
