@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plinth.llm.common import settle, ship
+
 #: Vectors of a shard and queries of a block, about, and queries that are multiplied at once: a tile needs SHARD + BLOCK vectors
 #: and a product of SHARD * ROWS cells. A vector is sent once to each block of queries.
 SHARD, BLOCK, ROWS = 8192, 8192, 256
@@ -39,13 +41,16 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products as integers; those beyond a long are held at its ends."""
+    """Exact inner products as integers; one that no long holds is an error."""
     most = np.abs(q.astype(np.float64)).max(initial=0) * np.abs(v.astype(np.float64)).max(initial=0) * q.shape[1]
     if most < EXACT:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
     if most < 2.0**62:
         return q @ v.T
-    return np.clip(q.astype(object) @ v.astype(object).T, -(2**63 - 1), 2**63 - 1).astype(np.int64)
+    product = q.astype(object) @ v.astype(object).T
+    if np.abs(product).max(initial=0) >= 2**63:
+        raise OverflowError("an inner product is beyond 64 bits; scale the vectors down")
+    return product.astype(np.int64)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -53,9 +58,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     vectors: vec_id, embedding. Candidates are all rows but those of the query's own id. Rows with a null id or a vector that
     is null, empty or holds null, NaN or infinite components take no part; vectors of another length than the query's are no candidates;
-    rows that repeat an id and vector count once. An empty table gives an empty result.
+    rows that repeat an id and vector count once. An empty table gives an empty result; a score that no long holds is an error.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null and size(v) > 0").distinct()
+    ship(vectors.sparkSession)
+    own = settle(own, "vectors")
     n = own.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-own.where(is_query).count() // BLOCK))
     spread = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int")

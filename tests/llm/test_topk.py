@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,10 @@ def test_few_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(0, [1.0]), (5, [2.0])], SCHEMA).withColumns({c: F.lit(1) for c in ("shard", "block", "v", "q", "score", "rank", "query_id", "top", "label")})
     assert sorted((r.query_id, r.rank, r.vec_id) for r in topk.search(df, F.col("vec_id") % 5 == 0).collect()) == [(0, 1, 5), (5, 1, 0)]
     assert topk.search(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_scores_beyond_a_long_are_an_error():
+    big = np.full((1, 3), 2**62, np.int64)
+    with pytest.raises(OverflowError):
+        topk._product(big, big)
+    assert topk._product(big, np.array([[1, -1, 1]])).tolist() == [[2**62]]
