@@ -52,7 +52,7 @@ def corpus(seed=1, n=60, group=70):
     return [(i, t, "en", "a", 0) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("seed", "width", "tile"), [(1, 4, neardup.TILE), (2, 5, 9), (3, 4, 20)])
+@pytest.mark.parametrize(("seed", "width", "tile"), [(1, 4, neardup.TILE), (2, 5, 9)])
 def test_against_brute_force(spark, seed, width, tile, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", tile)
     docs = corpus(seed)
@@ -60,7 +60,7 @@ def test_against_brute_force(spark, seed, width, tile, monkeypatch):
     assert got == brute(docs, width)
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [5])
 def test_whole_sets_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 11)
     monkeypatch.setattr(neardup, "SENT", 0)
@@ -137,7 +137,7 @@ def test_no_text_goes_with_another_of_its_id(spark):
     assert got == {(5, 5), (7, 5), (9, 5), (4, 4)}
 
 
-@pytest.mark.parametrize("seed", [7, 8])
+@pytest.mark.parametrize("seed", [7])
 def test_brute_force_with_ids_on_several_texts(spark, seed):
     rng = random.Random(seed)
     docs = [(i if rng.random() < 0.8 else rng.randrange(90), *rest) for i, *rest in corpus(seed, n=30, group=20)]

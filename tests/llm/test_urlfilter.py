@@ -49,7 +49,7 @@ def test_base_rules_against_plain_code(spark):
 
 def plain_rules(rows):
     """The rules of (tokens, verdict or None) rows, by trying every combination."""
-    known = [(t, v) for t, v in rows if v]
+    known, source = [(t, v) for t, v in rows if v], {i: rule(i) for i in range(len(rows))}
     share = {v: sum(x == v for _, x in known) / len(known) for v in ("block", "allow")}
     least = max(urlfilter.MIN_COUNT, urlfilter.MIN_SHARE * len(known))
     every = sorted({t for own, _ in known for t in own})
@@ -62,11 +62,15 @@ def plain_rules(rows):
                     continue
                 c = sure(s, v)
                 total, labelled = sum(s <= t for t, _ in rows), sum(s <= t for t, _ in known)
-                if c >= max(urlfilter.MIN_CONFIDENCE, urlfilter.MIN_LIFT * share[v]) and all(c >= sure(s - {t}, v) + urlfilter.MIN_GAIN for t in s) and labelled >= urlfilter.MIN_KNOWN * total:
+                if c >= max(urlfilter.MIN_CONFIDENCE, urlfilter.MIN_LIFT * share[v]) and all(c >= sure(s - {t}, v) + urlfilter.MIN_GAIN for t in s) and labelled >= urlfilter.MIN_KNOWN * total and len({source[i] for i, (t, x) in enumerate(rows) if s <= t and x == v}) >= urlfilter.MIN_RULES:
                     out[s, v] = (c, c / share[v], labelled, total)
     return out
 
 
+def rule(i):
+    return ("x/", "y/", "z/")[i * i % 7 % 3] if i % 5 else "x/"
+
+
 def random_rows(seed):
     rng = random.Random(seed)
     rows = []
@@ -82,7 +86,7 @@ def random_rows(seed):
 @pytest.mark.parametrize("seed", [8, 9])
 def test_rules_and_verdicts_against_every_combination(spark, seed):
     rows = random_rows(seed)
-    df = spark.createDataFrame([(i, "h", "/", None if v is None else "x/", v, sorted(t)) for i, (t, v) in enumerate(rows)], "page_id long, host string, path string, rule string, known string, tokens array<string>")
+    df = spark.createDataFrame([(i, "h", "/", None if v is None else rule(i), v, sorted(t)) for i, (t, v) in enumerate(rows)], "page_id long, host string, path string, rule string, known string, tokens array<string>")
     mined, want = urlfilter.mine(df), plain_rules(rows)
     got = {(r.tokens, r.verdict): (r.confidence, r.lift, r.examples, r.urls) for r in mined}
     assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
@@ -98,19 +102,21 @@ def test_rules_and_verdicts_against_every_combination(spark, seed):
 
 
 def test_mined_rules_reach_other_hosts(spark):
-    data = [(i, f"http://a{i}.com/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)] + [(900, "http://x.org/bad/7"), (901, "http://x.org/good/7")]
+    data = [(i, f"http://a{i}.{'com' if i % 3 else 'net'}/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)] + [(900, "http://x.org/bad/7"), (901, "http://x.org/good/7")]
     df = spark.createDataFrame(data, "page_id long, url string").withColumns({"tokens": F.lit(1), "index": F.lit(2), "items": F.lit(3), "rule": F.lit(4), "met": F.lit(5), "best": F.lit(6), "known": F.lit(7)})
-    out = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("block", "com/bad/")]).collect()}
+    out = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("allow", "net/"), ("block", "com/bad/"), ("block", "net/bad/")]).collect()}
     assert (out[900].verdict, out[901].verdict, out[900].rule) == ("block", "allow", None)
     assert (out[900].mined, out[901].mined, out[900].score) == ("p:bad", "p:good", 1.0)
+    one = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("allow", "net/"), ("block", "com/bad/")]).collect()}
+    assert (one[900].verdict, one[900].mined) == ("allow", None)  # one base rule alone says nothing of other hosts
 
 
 def test_a_repeated_url_of_many_tokens_stays_small(spark):
     deep = "/".join(f"part{chr(97 + k)}" for k in range(24))
-    data = [(i, f"http://a.com/bad/{deep}" if i % 2 else f"http://b.com/good/{i}") for i in range(300)] + [(900, f"http://x.org/bad/{deep}"), (901, "http://y.org/" + "z/" * 40_000), (902, "http://y.org/bad?" + "&".join(f"k{j}=1" for j in range(3000)))]
+    data = [(i, f"http://a.com/bad/{deep}" if i % 2 else f"http://b.com/good/{i}") for i in range(300)] + [(700 + i, f"http://a.net/bad/{deep}") for i in range(50)] + [(900, f"http://x.org/bad/{deep}"), (901, "http://y.org/" + "z/" * 40_000), (902, "http://y.org/bad?" + "&".join(f"k{j}=1" for j in range(3000)))]
     df = spark.createDataFrame(data, "page_id long, url string")
-    out = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("block", "com/bad/")]).collect()}
-    assert out[900].verdict == "block" and out[901].verdict == "allow" and len(out) == 303
+    out = {r.page_id: r for r in urlfilter.judge(df, [("allow", "com/"), ("block", "com/bad/"), ("block", "net/bad/")]).collect()}
+    assert out[900].verdict == "block" and out[901].verdict == "allow" and len(out) == 353
 
 
 def test_empty_and_unjudged(spark):
