@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, near-dedup, benchmark decontamination, personal data, and mixing of what is left.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one takes as docs. All but the last return the
-columns of documents.
+columns of docs as they are, whatever their names; the last adds columns of its own. In every stage null texts and texts without words stay
+and stay as they are, rows without an id stay, rows that repeat are treated alike, texts of any length are read whole, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
