@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.common import WORD, fresh, settle
+from plinth.llm.common import WORD, fresh, settle, spent
 
-#: Bits of a document's place in the seeded order of its source, and those by which places are summed first.
-PLACE_BITS, BUCKET_BITS = 60, 14
+#: Bits of a document's place in the seeded order of its source, and how many of them tell places apart at each step of the search for a
+#: source's cut: words are summed by the first bits, then by the next ones inside the one sum that the cut falls in, and so on.
+PLACE_BITS, STEPS = 60, (8, 16, 60)
 #: Sources whose targets are sent to every task, so that documents stay where they are. With more sources the join deals
 #: documents by source and salt; a hot source then spreads over so many tasks.
 SENT, SALTS = 50_000, 64
@@ -52,24 +53,19 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_epo
 def cuts(placed: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with extra (words above whole repetitions), cut_at, cut_before, cut_size: where in its order a source's extra words end.
 
-    placed: (source, at, size) rows. Words are summed by source and the upper bits of `at`; only the rows of the one bucket in
-    which a source's extra words end are put in order, so a hot source is one bucket's worth of rows to a task.
+    placed: (source, at, size) rows. Words are summed by source and the first bits of `at`, and only the rows of the sum in which a source's
+    extra words end are looked at by their next bits; so no task orders more than 256 sums of a source, or a 65536th of its rows.
     """
     extra = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     t = targets.withColumn("extra", F.when(F.col("source_size") > 0, extra).otherwise(0.0))
-    bucket = F.shiftright("at", PLACE_BITS - BUCKET_BITS)
-
-    def ends(sums: DataFrame, order: str, left: Column) -> DataFrame:
-        """Rows (source, order, n) in which a source's running sum passes what is left."""
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        s = _met(sums, t.select("source", "extra", *(["bucket_before"] if "bucket_before" in t.columns else [])))
-        return s.withColumn("before", left + before).where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
-
-    sums = placed.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    hit = ends(sums, "bucket", F.lit(0)).select("source", "bucket", F.col("before").alias("bucket_before"))
-    inside = _met(placed.withColumn("bucket", bucket), settle(hit, "buckets"), "bucket").groupBy("source", "at", "bucket_before").agg(F.sum("size").alias("n"))
-    place = ends(inside, "at", F.col("bucket_before")).select("source", F.col("at").alias("cut_at"), F.col("before").alias("cut_before"), F.col("n").alias("cut_size"))
-    return _met(t, settle(place, "places"), how="left")
+    cut, known = t.select("source", "extra", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")), 0
+    for bits in STEPS:
+        inside = _met(placed.withColumn("prefix", F.shiftright("at", PLACE_BITS - known)), cut, "prefix")
+        sums = inside.groupBy("source", "extra", "before", F.shiftright("at", PLACE_BITS - bits).alias("prefix")).agg(F.sum("size").alias("n"))
+        lower = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ends = sums.withColumn("before", F.col("before") + lower).where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
+        cut, known = settle(ends, "cut"), bits
+    return _met(t, cut.select("source", F.col("prefix").alias("cut_at"), F.col("before").alias("cut_before"), F.col("n").alias("cut_size")), how="left")
 
 
 def _met(left: DataFrame, right: DataFrame, *more: str, how: str = "inner") -> DataFrame:
@@ -96,8 +92,9 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, m
     draw = F.conv(F.substring(F.md5(key), 1, PLACE_BITS // 4), 16, 10).cast("long")
     size = word_count(F.col("text"))
     placed = settle(docs.select(F.col("source").cast("string").alias("source"), draw.alias("at"), size.alias("size")), "sizes")
-    goals = settle(source_targets(placed.select("source", "size"), list(weights), share, max_epochs), "targets")
-    goals = settle(cuts(placed, goals), "cuts")
+    targets = settle(source_targets(placed.select("source", "size"), list(weights), share, max_epochs), "targets")
+    goals = settle(cuts(placed, targets), "cuts")
+    spent(placed, targets)
     names = {c: fresh(f"_{c}", docs) for c in ("source", "at", "extra", "cut_at", "cut_before", "cut_size")}
     goals = goals.select(*[F.col(c).alias(names.get(c, c)) for c in goals.columns])
     sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), draw.alias(names["at"]), size.alias("size"))
