@@ -86,7 +86,7 @@ class Items:
             held.append((t, at[whole], slot[whole], text[whole]))
         per_text = np.zeros(len(begin), np.int64)
         for t, _, slot, text in held:
-            np.add.at(per_text, text, t.first[slot + 1] - t.first[slot])
+            per_text += np.bincount(text, t.first[slot + 1] - t.first[slot], minlength=len(begin)).astype(np.int64)
         for a, b in _ranges(per_text, POSTINGS):
             parts = -(-int(per_text[a:b].sum()) // POSTINGS) if b - a == 1 else 1
             edges = np.linspace(0, len(self.words), max(1, parts) + 1).astype(np.int64)
@@ -105,8 +105,9 @@ class Items:
         new = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > around[item[1:]])))
         group = np.cumsum(new) - 1
         first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new)) - 1
-        places = np.unique(np.stack((group, at, weight), 1), axis=0)
-        enough = np.bincount(places[:, 0], places[:, 2], minlength=len(first)) >= self.least[item[first]]
+        span = begin[-1] + 1
+        places = np.unique((group * span + at) * (HITS + 1) + weight)  # each seed at each place of a group once
+        enough = np.bincount(places // ((HITS + 1) * span), places % (HITS + 1), minlength=len(first)) >= self.least[item[first]]
         first, last = first[enough], last[enough]
         low = np.maximum(diagonal[first] - around[item[first]], begin[text[first]])
         high = np.minimum(diagonal[last] + self.length[item[first]] + around[item[first]], begin[text[first] + 1])
