@@ -58,10 +58,14 @@ def cuts(placed: DataFrame, targets: DataFrame) -> DataFrame:
     """
     extra = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     t = targets.withColumn("extra", F.when(F.col("source_size") > 0, extra).otherwise(0.0))
-    cut, known = t.select("source", "extra", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")), 0
+    cut, known = t.select("source", "extra", F.lit(0).cast("long").alias("before")), 0
     for bits in STEPS:
-        inside = _met(placed.withColumn("prefix", F.shiftright("at", PLACE_BITS - known)), cut, "prefix")
-        sums = inside.groupBy("source", "extra", "before", F.shiftright("at", PLACE_BITS - bits).alias("prefix")).agg(F.sum("size").alias("n"))
+        prefix, n = F.shiftright("at", PLACE_BITS - bits).alias("prefix"), F.sum("size").alias("n")
+        if known:
+            inside = _met(placed.withColumn("prefix", F.shiftright("at", PLACE_BITS - known)), cut, "prefix")
+            sums = inside.groupBy("source", "extra", "before", prefix).agg(n)
+        else:  # all rows take part, so they are summed before any of them moves by its source
+            sums = _met(placed.groupBy("source", prefix).agg(n), cut)
         lower = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ends = sums.withColumn("before", F.col("before") + lower).where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
         cut, known = settle(ends, "cut"), bits
