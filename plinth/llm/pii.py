@@ -102,8 +102,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def seeds(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The base matches, and the digests that none of them touches. Digests are looked for in long tokens with a digit only."""
-    found = [(SECRET, m.start(), m.end()) for s, e in tokens(text) if e - s >= 32 for m in DIGEST.finditer(text, s, e)]
-    return base + [(k, s, e) for k, s, e in found if not any(a < e and s < b for _, a, b in base)]
+    touched = _touching([(s, e) for _, s, e in base])
+    found = [m.span() for s, e in tokens(text) if e - s >= 32 for m in DIGEST.finditer(text, s, e)]
+    return base + [(SECRET, s, e) for s, e in found if not touched(s, e)]
+
+
+def _touching(spans: list[tuple[int, int]]):
+    """A function of start and end: whether any of these spans is touched. It bisects, so many spans cost little."""
+    own = sorted(spans)
+    starts, ends = [s for s, _ in own], list(accumulate((e for _, e in own), max))
+    return lambda s, e: (k := bisect_left(starts, e)) > 0 and ends[k - 1] > s
 
 
 def mail_forms(text: str) -> list[tuple[int, int]]:
@@ -152,25 +160,15 @@ def mail_forms(text: str) -> list[tuple[int, int]]:
 
 def others(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Instances that no seed touches, by start: mail forms, colon-hex, runs of digit groups, other tokens with a digit."""
-    taken = sorted((s, e) for _, s, e in base)
+    taken = [(s, e) for _, s, e in base]
     out: list[tuple[int, int]] = []
-
-    def taking(more):
-        nonlocal taken, starts, ends
-        taken = sorted([*taken, *more])
-        starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
-
-    def touched(s: int, e: int) -> bool:
-        return (k := bisect_left(starts, e)) > 0 and ends[k - 1] > s
-
-    starts = ends = []
-    taking([])
+    touched = _touching(taken)
     forms = [x for x in mail_forms(text) if not touched(*x)]
-    taking(forms)
+    touched = _touching([*taken, *forms])
     if PAIR.search(text):
         hexes = [m.span() for m in HEX.finditer(text) if any(c not in ":%" for c in m[0]) and not touched(*m.span())]
-        taking(hexes)
         forms += hexes
+        touched = _touching([*taken, *forms])
     run = -1  # the end of the run of digit groups that the last token is part of
     for begin, end in tokens(text):
         token = (raw := text[begin:end]).strip(SIGNS)
