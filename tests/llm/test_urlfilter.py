@@ -101,6 +101,46 @@ def test_rules_and_verdicts_against_every_combination(spark, seed):
             assert (r.verdict, r.mined) == ((best[1], " ".join(sorted(best[0]))) if best else ("allow", None))
 
 
+@pytest.mark.parametrize("seed", [8, 9])
+def test_rules_by_levels_and_in_many_passes(spark, monkeypatch, seed):
+    monkeypatch.setattr(urlfilter, "MOST_ITEMS", 0)
+    monkeypatch.setattr(urlfilter, "MOST_INDEX", 1)
+    test_rules_and_verdicts_against_every_combination(spark, seed)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, "h", "/", None if v is None else rule(i), v, sorted(t)) for i, (t, v) in enumerate(rows)], "page_id long, host string, path string, rule string, known string, tokens array<string>")
+
+
+def test_no_token_of_a_long_url_is_dropped(spark):
+    rng, rows = random.Random(3), []
+    for _ in range(600):
+        blocked, a = rng.random() < 0.5, rng.random() < 0.5
+        both = {"q:x", "q:y"} if blocked and a else {rng.choice(["q:x", "q:y"])} if a else set()
+        own = frozenset(both | {f"p:{k:02}" for k in range(14) if rng.random() < (0.9 if blocked else 0.5)})
+        rows.append((own, ("block" if blocked else "allow") if rng.random() < 0.8 else None))
+    assert max(len(t) for t, v in rows if v) > urlfilter.MOST_ITEMS
+    mined, want = urlfilter.mine(frame(spark, rows)), plain_rules(rows)
+    got = {(r.tokens, r.verdict): (r.confidence, r.lift, r.examples, r.urls) for r in mined}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert (frozenset({"q:x", "q:y"}), "block") in got
+
+
+def test_no_frequent_token_is_dropped(spark):
+    rows = [(frozenset({f"p:{(i + j * 61) % 240}" for j in range(4)}), "block") for i in range(1200)] + [(frozenset({"p:other"}), "allow")] * 1200
+    bad = {f"p:{k}" for k in range(240)}
+    mined = urlfilter.mine(frame(spark, rows + [(frozenset({t}), None) for t in sorted(bad)]))
+    assert {t for r in mined for t in r.tokens} == bad | {"p:other"} and len(mined) == 241
+
+
+def test_many_tokens_that_come_together_stay_small(spark):
+    many = [f"q:{k}" for k in range(400)]
+    rows = [(frozenset(many + ["p:bad"]), "block")] * 40 + [(frozenset(many), "allow")] * 10 + [(frozenset({"p:good"}), "allow")] * 40 + [(frozenset(["p:bad"]), None)] * 9
+    mined = urlfilter.mine(frame(spark, rows))
+    assert {(r.tokens, r.verdict) for r in mined if "p:bad" in r.tokens} == {(frozenset({"p:bad"}), "block")}
+    assert len(mined) == 402 and all(len(r.tokens) == 1 for r in mined)  # 400 names at 0.8 for block, and p:good
+
+
 def test_mined_rules_reach_other_hosts(spark):
     data = [(i, f"http://a{i}.{'com' if i % 3 else 'net'}/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)] + [(900, "http://x.org/bad/7"), (901, "http://x.org/good/7")]
     df = spark.createDataFrame(data, "page_id long, url string").withColumns({"tokens": F.lit(1), "index": F.lit(2), "items": F.lit(3), "rule": F.lit(4), "met": F.lit(5), "best": F.lit(6), "known": F.lit(7)})
